@@ -327,7 +327,8 @@ def similar_groups(
     clusters = materialize(connected_components(block_links(distinct.select("fp", "rep"), radius)), "clusters")
     sizes = clusters.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("n"))
     members = clusters.join(sizes, clusters["component"] == sizes["c"]).select("node", "component", F.ceil(F.col("n") / rows_per_block).alias("blocks"))
-    first = texts.join(members, texts["doc_id"] == members["node"]).join(distinct, F.col("node") == F.col("rep"))
+    # one plan at every size: texts meet the clusters' ids by a merge join
+    first = texts.join(members.hint("merge"), texts["doc_id"] == members["node"]).join(distinct, F.col("node") == F.col("rep"))
     # rows that repeat an id stand under one node
     first = first.select("component", "node", "fp", "blocks", "text")
 
