@@ -32,14 +32,14 @@ _JOINED = (
     f"a.section AS ls, b.section AS rs, coalesce(a.text, '') AS lt, coalesce(b.text, '') AS rt FROM ({C1}) a FULL JOIN ({C2}) b ON a.node = b.node"
 )
 _SIGNALS = (
-    f"SELECT *, change_type = 'MODIFIED' AS both, {FLAGS_SQL}, {verb_sql('lt')} AS lv, {verb_sql('rt')} AS rv, len(gone) + len(come) AS n_diff, greatest(len(gone), len(come)) AS n_num, "
+    f"SELECT *, change_type = 'MODIFIED' AS paired, {FLAGS_SQL}, {verb_sql('lt')} AS lv, {verb_sql('rt')} AS rv, len(gone) + len(come) AS n_diff, greatest(len(gone), len(come)) AS n_num, "
     f"{entity_sql('lt || chr(32) || rt')} AS entity_type, CASE WHEN change_type = 'MODIFIED' THEN round(1.0 - len(list_intersect({_TOK('lt')}, {_TOK('rt')})) / len(list_distinct(list_concat({_TOK('lt')}, {_TOK('rt')}))), 6) END AS distance "
     f"FROM ({_numeric_pairs(_JOINED)})"
 )
 _CONTEXT = (
-    f"SELECT node, change_type, CASE WHEN both AND ls <> rs THEN 'moved' ELSE 'same' END AS alignment_type, coalesce(ls, rs) AS section, lt, rt, distance, both AND formatting_only AS formatting_only, "
-    "both AND reference_only AS reference_only, both AND cosmetic AS cosmetic, CASE WHEN both THEN n_num ELSE 0 END AS n_numeric, entity_type, "
-    f"CASE WHEN both AND lv <> rv THEN CASE WHEN {strength_sql('rv')} > {strength_sql('lv')} THEN 'strengthened' WHEN {strength_sql('rv')} < {strength_sql('lv')} THEN 'weakened' ELSE 'changed' END END AS verb_direction "
+    f"SELECT node, change_type, CASE WHEN paired AND ls <> rs THEN 'moved' ELSE 'same' END AS alignment_type, coalesce(ls, rs) AS section, lt, rt, distance, paired AND formatting_only AS formatting_only, "
+    "paired AND reference_only AS reference_only, paired AND cosmetic AS cosmetic, CASE WHEN paired THEN n_num ELSE 0 END AS n_numeric, entity_type, "
+    f"CASE WHEN paired AND lv <> rv THEN CASE WHEN {strength_sql('rv')} > {strength_sql('lv')} THEN 'strengthened' WHEN {strength_sql('rv')} < {strength_sql('lv')} THEN 'weakened' ELSE 'changed' END END AS verb_direction "
     f"FROM ({_SIGNALS})"
 )
 _MEANING = f"SELECT *, CASE WHEN change_type <> 'MODIFIED' OR formatting_only THEN 'unchanged' WHEN verb_direction IS NOT NULL THEN verb_direction WHEN 1.0 - distance < 0.75 AND NOT cosmetic THEN 'changed' ELSE 'unchanged' END AS meaning_change FROM ({_CONTEXT})"
@@ -86,7 +86,7 @@ def change_records_emc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("change_records_meanings")
 def change_records_meanings(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir, meanings=True)
-    return r.select("change_id", "change_type", "meaning_change", "distance", "confidence", "verdict.*", severity.needs_review(F.col("verdict")).alias("review"))
+    return r.select("change_id", "change_type", "meaning_change", "distance", "confidence", "verdict.severity", "verdict.reasons", "verdict.impact", "verdict.codes", "verdict.disposition", severity.needs_review(F.col("verdict")).alias("review"))
 
 
 @query("severity_ladder", f"SELECT node, severity FROM ({severity_sql(_MEANING)})")
@@ -148,7 +148,7 @@ def trace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diff_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events that a stream of differences is made of, in order by section."""
     r = _flat(records(spark, sf_dir)).withColumn("seq", F.row_number().over(W.partitionBy("section").orderBy("node")))
-    events = F.array(F.struct(F.lit("diff_start").alias("event"), F.col("section").alias("payload")), F.struct(F.lit("diff_complete"), F.col("severity")))
+    events = F.array(F.struct(F.lit("diff_start").alias("event"), F.col("section").alias("payload")), F.struct(F.lit("diff_complete").alias("event"), F.col("severity").alias("payload")))
     return r.select("node", "seq", F.inline(events))
 
 
@@ -183,10 +183,10 @@ def subgraph_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("clause_greedy_match")
 def clause_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clauses without a partner by id, matched by score within their section."""
+    """Clauses whose numbers changed, matched by score within their section as if
+    they had no ids."""
     left, right = versions(spark, sf_dir)
-    # ids are cut from version 2 where text was inserted, so scores must find partners
-    return matching.match_blocks(left.where("node % 11 = 0"), right.where("node >= 1000000000"), "section")
+    return matching.match_blocks(left.where("node % 7 = 0"), right.where("node % 7 = 0"), "section")
 
 
 @query("moves")
