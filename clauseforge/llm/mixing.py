@@ -52,8 +52,9 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str
     )
     found = {r["domain"]: r["n"] for r in picked.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     priors = [(found.get(d, 0) + 1.0) / (sum(found.values()) + len(domains)) for d in domains]
-    texts = docs.join(F.broadcast(picked), F.col(id_col) == F.col("t_id")).select(F.col(id_col), F.col(text_col), "domain")
-    words = texts.select(F.col(id_col), "domain", F.explode(F.split(F.trim(F.lower(F.coalesce(F.col(text_col), F.lit("")))), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    texts = d.join(F.broadcast(picked), d["doc_id"] == picked["t_id"])
+    words = texts.select("domain", F.explode(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
     counts = (
         words.select("domain", F.explode(F.array(_word_bucket(), _ending_bucket())).alias("k"))
         .groupBy("k")

@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     similarity of 0.8 of five-word shingles.  Of rows that repeat an id one stays
     (the least by text); rows without an id all stay."""
     kept = simhash.similar_groups(docs).select(F.col("component_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept.hint("merge"), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    named = docs.where("doc_id is not null").join(kept.hint("merge"), docs["doc_id"] == kept["kept_id"], "left_semi")
     once = W.partitionBy("doc_id").orderBy("text")
     rank = "row_of_id" + "_" * sum(c.startswith("row_of_id") for c in docs.columns)
     one = named.withColumn(rank, F.row_number().over(once)).where(F.col(rank) == 1).select(*docs.columns)
@@ -43,9 +43,9 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rate is below 1, so every document stays; rows without an id stay once."""
     labelled = docs.select("doc_id", F.col("lang").alias("domain"))
     mixed = mixing.mix(docs, labelled, LANGUAGE_TARGETS, keep_domain="en", lowest=1.0).select(F.col("doc_id").alias("mixed_id"), F.col("copies").alias("mixed_copies"))
-    joined = docs.join(mixed.hint("merge"), F.col("doc_id") == F.col("mixed_id"), "left")
-    times = F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("mixed_copies", F.lit(1)), F.lit(1))))
-    return joined.select(*docs.columns, times.alias("mixed_copy")).select(*docs.columns)
+    joined = docs.join(mixed.hint("merge"), docs["doc_id"] == mixed["mixed_id"], "left")
+    times = F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce(mixed["mixed_copies"], F.lit(1)), F.lit(1))))
+    return joined.select(*[docs[c] for c in docs.columns], times.alias("mixed_copy")).drop("mixed_copy")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
