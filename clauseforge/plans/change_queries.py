@@ -97,13 +97,14 @@ def severity_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "diff_filter_sorted",
-    f"SELECT node, severity, row_number() OVER (PARTITION BY section ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END, node) AS place FROM ({severity_sql(_KEPT)}) WHERE severity <> 'low'",
+    f"SELECT node, severity, row_number() OVER (PARTITION BY section ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END, node) AS place FROM ({severity_sql(_KEPT)}) QUALIFY severity <> 'low'",
 )
 def diff_filter_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without low ones, ranked in their section by severity."""
-    r = _flat(records(spark, sf_dir)).where("severity <> 'low'")
+    """Without low ones, ranked in their section by severity.  Low ones rank last,
+    so they are left out after ranking, which keeps the filter off the rules."""
     w = W.partitionBy("section").orderBy(changes.severity_order(F.col("severity")), "node")
-    return r.select("node", "severity", F.row_number().over(w).alias("place"))
+    ranked = _flat(records(spark, sf_dir)).select("node", "severity", F.row_number().over(w).alias("place"))
+    return ranked.where("severity <> 'low'")
 
 
 @query("severity_rollup", f"SELECT change_type, severity, count(*) AS n FROM ({severity_sql(_KEPT)}) GROUP BY ROLLUP (change_type, severity)")
