@@ -123,3 +123,13 @@ def test_bounds_lose_no_match():
         for b in texts:
             full, bounded = matching.clause_score(a, b), matching.clause_score(a, b, 0.5)
             assert (full >= 0.5) == (bounded >= 0.5) and (full < 0.5 or full == bounded)
+
+
+def test_bounded_greedy_equals_greedy():
+    import random
+
+    rnd = random.Random(2)
+    words = ["alpha", "beta", "gamma", "5", "7 days", "must", "shall", "keep", ""]
+    x, y = ([matching.Text(" ".join(rnd.choice(words) for _ in range(rnd.randrange(9)))) for _ in range(40)] for _ in range(2))
+    edges = [(s, i, j) for i, a in enumerate(x) for j, b in enumerate(y) if (s := matching.clause_score(a, b)) >= 0.5]
+    assert matching.greedy_by_bounds(x, y, 0.5) == matching.greedy(edges)
