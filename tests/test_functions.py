@@ -133,3 +133,4 @@ def test_bounded_greedy_equals_greedy():
     x, y = ([matching.Text(" ".join(rnd.choice(words) for _ in range(rnd.randrange(9)))) for _ in range(40)] for _ in range(2))
     edges = [(s, i, j) for i, a in enumerate(x) for j, b in enumerate(y) if (s := matching.clause_score(a, b)) >= 0.5]
     assert matching.greedy_by_bounds(x, y, 0.5) == matching.greedy(edges)
+    assert matching.greedy_by_bounds([], y, 0.5) == matching.greedy_by_bounds(x, [], 0.5) == []
