@@ -208,3 +208,8 @@ FACT_TERM = r"\b(shall\s+not|must\s+not|darf\s+nicht|dürfen\s+nicht|ne\s+doit\s
 FACT_CLASS = r"\b(?:class|klasse)\s+([A-E])\b"
 VOLTAGE_COLUMNS = ("voltage", "spannung", "level", "pegel", "esd", "u s", "u in", "prüfspannung")
 EMISSION_UNITS = {"dbµv": "dBuV", "dbuv": "dBuV", "dbµa": "dBuA", "dbua": "dBuA", "dbµv/m": "dBuV/m", "dbuv/m": "dBuV/m"}
+
+# Titles and lines of auxiliary matter.
+AUXILIARY_TITLES = r"^\s*(table of contents|contents|index|glossary|list of figures|list of tables)\s*$"
+CONTENTS_TITLES = ("contents", "table of contents", "toc", "index", "document index")
+CONTENTS_LINE = r"^\s*(?:[A-Za-z0-9][A-Za-z0-9 .,'()\-/]{2,}?)(?:\.{2,}|\s{2,})(?:[A-Za-z]?\d+[A-Za-z]?)\s*$"

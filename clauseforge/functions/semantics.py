@@ -259,3 +259,38 @@ def hertz(value: Column, unit: Column) -> Column:
     v = F.replace(value, F.lit(","), F.lit(".")).try_cast("double")
     factor = ladder([(F.lower(unit) == k, F.lit(x)) for k, x in L.FREQUENCY_FACTORS.items()], F.lit(1.0))
     return F.coalesce(v * factor, F.lit(0.0))
+
+
+def _lines(c: Column) -> Column:
+    return F.filter(F.transform(F.split(T.blank(c), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def is_auxiliary(c: Column, section_title: Column) -> Column:
+    """Empty, under a title of auxiliary matter, or a list of short lines with dot
+    leaders and page numbers."""
+
+    def listed(lines: Column) -> Column:
+        count = lambda test: F.size(F.filter(lines, test))
+        return (
+            (F.size(lines) >= 6)
+            & (F.size(F.regexp_extract_all(T.blank(c), F.lit(r"(\.{3,})"))) >= 3)
+            & (count(lambda x: x.rlike(r"(?U)\s\d{1,4}\s*$")) >= 3)
+            & (count(lambda x: F.length(x) <= 70) / F.greatest(F.size(lines), F.lit(1)) > 0.6)
+        )
+
+    return (F.trim(T.blank(c)) == "") | _find(T.blank(section_title), L.AUXILIARY_TITLES) | T.let(_lines(c), listed)
+
+
+def contents_reason(c: Column, title: Column, section_titles: Column, labels: Column) -> Column:
+    """Why a block is left out as a table of contents; null where it is none."""
+    plain = lambda a: F.transform(F.coalesce(a, F.array().cast("array<string>")), T.normalize)
+    named = T.normalize(title).isin(*L.CONTENTS_TITLES) | F.arrays_overlap(plain(section_titles), F.array(*map(F.lit, L.CONTENTS_TITLES)))
+
+    def listed(lines: Column) -> Column:
+        alike = F.size(F.filter(lines, lambda x: x.rlike(L.CONTENTS_LINE)))
+        return (F.size(lines) >= 3) & (alike >= 3) & (alike / F.size(lines) >= 0.5)
+
+    return (
+        F.when(F.array_contains(plain(labels), "document_index"), "document_index")
+        .when(named | T.let(_lines(c), listed), "table_of_contents")
+    )

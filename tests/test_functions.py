@@ -134,3 +134,20 @@ def test_bounded_greedy_equals_greedy():
     edges = [(s, i, j) for i, a in enumerate(x) for j, b in enumerate(y) if (s := matching.clause_score(a, b)) >= 0.5]
     assert matching.greedy_by_bounds(x, y, 0.5) == matching.greedy(edges)
     assert matching.greedy_by_bounds([], y, 0.5) == matching.greedy_by_bounds(x, [], 0.5) == []
+
+
+@pytest.mark.parametrize(
+    ("given", "title", "wanted"),
+    [("", "x", True), (None, None, True), ("text", "Contents", True), ("text", "Scope", False), ("\n".join(f"Part {i} ..... {i}" for i in range(1, 8)), "", True), ("a\nb\nc", "", False)],
+)
+def test_auxiliary(spark, given, title, wanted):
+    assert value(spark, semantics.is_auxiliary, given, title) is wanted
+
+
+def test_contents_reason(spark):
+    none = F.array().cast("array<string>")
+    reason = lambda t, title, labels=none: semantics.contents_reason(t, title, none, labels)
+    assert value(spark, reason, "any", "Table of  Contents") == "table_of_contents"
+    assert value(spark, reason, "Scope....3\nTerms ....4\nTests  12", "") == "table_of_contents"
+    assert value(spark, reason, "plain\ntext\nhere", "Scope") is None
+    assert value(spark, lambda t, x: reason(t, x, F.array(F.lit("Document_Index"))), "any", "") == "document_index"
