@@ -213,3 +213,73 @@ EMISSION_UNITS = {"dbµv": "dBuV", "dbuv": "dBuV", "dbµa": "dBuA", "dbua": "dBu
 AUXILIARY_TITLES = r"^\s*(table of contents|contents|index|glossary|list of figures|list of tables)\s*$"
 CONTENTS_TITLES = ("contents", "table of contents", "toc", "index", "document index")
 CONTENTS_LINE = r"^\s*(?:[A-Za-z0-9][A-Za-z0-9 .,'()\-/]{2,}?)(?:\.{2,}|\s{2,})(?:[A-Za-z]?\d+[A-Za-z]?)\s*$"
+
+# Labels of sections, captions, cells and nodes.
+SECTION_LABEL = r"^\s*(?:section|clause|article|chapter|annex|appendix)?\s*([A-Za-z]?\d+(?:[.\-]\d+)*[A-Za-z]?)\b"
+SECTION_NUMBER = r"^(?:(?:section|article|chapter|clause|part|annex|appendix)\s+)?(?:[A-Z]\.)?[\d.]+\s*[-–:.]?\s*"
+TABLE_NUMBER = r"\bTabell?e\s+(\d+[A-Za-z]?)\b"
+TABLE_CAPTION_NUMBER = r"\b(?:Tabell?e|Table)\s+(?:[A-Z]\.)?\d+(?:\.\d+)*[A-Za-z]?\b"
+TABLE_PREFIX = (
+    r"^(?:table|tabelle|tabella|tableau|tab\.?|fig(?:ure)?|abbildung|exhibit|appendix|anhang|annex|tbl\.?)"
+    r"\s*(?:[A-Za-z]{1,2}\.?)?[\d.]*[:\s\-–—]*"
+)
+TABLE_SEPARATOR = r"^\s*\|?\s*:?-{2,}:?(?:\s*\|\s*:?-{2,}:?)*\s*\|?\s*$"
+GLOSSARY_TERM = r"^\s*[\"'“”‘’]?([^:\"'“”‘’\-–—]{2,80})[\"'“”‘’]?\s*[:\-–—]\s*(.+)$"
+NOTE_LABEL = r"\b(note|example|warning|caution)\b"
+REFERENCE_SECTION = (
+    r"\b(legende|symbole?|abkürzung(?:en)?|definitionen?|begriffe?|inhalt"
+    r"|glossar|annex|anhang|abbreviation|legend|symbol|glossary|definition)\b"
+)
+CAPTION_ROW = r"^(?:table|tbl\.?|figure|fig\.?)\s*\d"
+LIST_MARKER_CELL = r"^[\d\s\.\-•\*\→]+$"
+CONTINUED = r"\(?\b(?:continued|fortgesetzt|fortsetzung|suite)\b\)?"
+PLACEHOLDER_HEADER = r"^column_"
+
+# Labels whose text takes no part in a comparison -> reason.
+SUPPRESSED_LABELS = {
+    "toc": "toc", "table_of_contents": "toc", "index": "boilerplate", "page_header": "header_footer",
+    "page_footer": "header_footer", "page_number": "page_number", "footnote_marker": "boilerplate",
+}
+NODE_TYPES = {
+    "section_header": "heading", "title": "heading", "heading": "heading", "table": "table", "formula": "formula", "figure": "figure",
+    "list_item": "list_item", "footnote": "footnote", "definition": "definition", "paragraph": "paragraph", "clause": "clause",
+}
+DEPARTMENTS = ("EMC", "Safety", "Environment")
+
+# Units that a column's header names, by priority -> unit and kind of fact.
+COLUMN_UNITS = (
+    (r"in\s*ghz|\(ghz\)", "GHz", "frequency_range"),
+    (r"in\s*mhz|\(mhz\)", "MHz", "frequency_range"),
+    (r"in\s*khz|\(khz\)", "kHz", "frequency_range"),
+    (r"in\s*hz|\(hz\)", "Hz", "frequency_range"),
+    (r"db\s*[\(]?\s*[μu]a", "dBuA", "emission_limit"),
+    (r"db\s*[\(]?\s*[μu]v/m", "dBuV/m", "field_strength"),
+    (r"db\s*[\(]?\s*[μu]v", "dBuV", "emission_limit"),
+    (r"dbv/m", "dBV/m", "field_strength"),
+    (r"\bv/m\b", "V/m", "field_strength"),
+    (r"\bkv\b(?!/m)", "kV", "voltage_level"),
+)
+BARE_RANGE = r"^(\d[\d\s,\.]*?)\s*(?:bis|to|[-–—])\s*(\d[\d\s,\.]*)\s*$"
+
+# Key columns of a table's rows, by its test type.
+DOMAIN_ROW_KEYS = {
+    "radiated_immunity": ("phenomenon", "frequency_range", "modulation", "component_or_port", "acceptance_criterion"),
+    "conducted_emissions": ("phenomenon", "port", "frequency_range", "detector", "limit_class"),
+    "esd": ("phenomenon", "discharge_type", "polarity", "voltage_level", "location", "acceptance_criterion"),
+    "transient_immunity": ("phenomenon", "pulse_type", "supply_voltage", "coupling_path", "severity_level"),
+    "environmental_vibration": ("kategorie", "beschreibung", "specification"),
+    "maritime_installation": ("parameters", "class", "location"),
+}
+KEY_ENTITIES = {
+    "phenomenon": "Phenomenon", "frequency_range": "FrequencyRange", "acceptance_criterion": "AcceptanceCriterion",
+    "limit_class": "EmissionLimit", "voltage_level": "FieldStrength",
+}
+REQUIREMENT_IDS = (r"((?:REQ|REF|EMV|EMC|DIN|IEC)-[\d]+)", r"(\d+\.\d+(?:\.\d+)*)", r"([A-Z]{2,}-\d+[A-Z]?)")
+TEST_CASE_IDS = (r"(TC-[\d]+)", r"((?:Test\s+)?Case\s+(?:[A-Z]|\d+))", r"((?:case|variant|scenario)\s+\w+)")
+ROW_CONDITIONS = (
+    "normal operation", "edge case", "boundary condition", "extreme", "error case", "stress test", "steady state", "transient", "worst case", "best case",
+)
+ROW_STEPS = ("step", "procedure", "verification", "measurement", "check", "validation", "initialization", "execution", "conclusion")
+
+# Answers of a model that say nothing changed.
+NO_CHANGE = ("(no semantic change)", "(no change)", "no semantic change", "no change")
