@@ -66,12 +66,13 @@ def list_text(c: Column, is_item: Column) -> Column:
     return F.when(is_item, F.trim(F.regexp_replace(blank(c), r"(?:(?<=\s)|^)- -\s*", ""))).otherwise(blank(c))
 
 
-def cell_text(c: Column) -> Column:
-    return T.comparable(F.regexp_replace(F.regexp_replace(blank(c), r"[ \t]+", " "), r"\n{2,}", "\n"))
+def cell_text(c: Column, unicode: bool = True) -> Column:
+    return T.comparable(F.regexp_replace(F.regexp_replace(blank(c), r"[ \t]+", " "), r"\n{2,}", "\n"), unicode)
 
 
-def header(c: Column) -> Column:
-    return T.normalize(cell_text(c))
+def header(c: Column, unicode: bool = True) -> Column:
+    """``unicode``: c is not in NFKC yet (inside a lambda it has to be)."""
+    return T.normalize(cell_text(c, unicode))
 
 
 def fuse_headers(headers: Column) -> Column:
@@ -148,6 +149,17 @@ def obligation_value(c: Column) -> Column:
     )
 
 
+def normative_change(left: Column, right: Column) -> Column:
+    """'strengthened' or 'weakened' by the first normative term of two texts; null
+    where a side has none that is ranked or both rank alike."""
+
+    def rank(c: Column) -> Column:
+        term = F.lower(F.trim(F.regexp_extract(blank(c), FLAGS + L.FACT_TERM, 0)))
+        return ladder([(term == k, F.lit(v)) for k, v in L.OBLIGATION_STRENGTH.items()], F.lit(None))
+
+    return let(F.struct(rank(left).alias("a"), rank(right).alias("b")), lambda s: F.when(s["b"] > s["a"], "strengthened").when(s["b"] < s["a"], "weakened"))
+
+
 def is_reference_section(path: Column, is_table: Column) -> Column:
     """Whether a table lies under a legend, glossary or annex and has no number."""
     joined = F.array_join(path, " / ")

@@ -232,7 +232,8 @@ REFERENCE_SECTION = (
 )
 CAPTION_ROW = r"^(?:table|tbl\.?|figure|fig\.?)\s*\d"
 LIST_MARKER_CELL = r"^[\d\s\.\-•\*\→]+$"
-CONTINUED = r"\(?\b(?:continued|fortgesetzt|fortsetzung|suite)\b\)?"
+CONTINUED = r"\b(cont(?:inued)?|fortgesetzt|suite|următoare|continuazione|जारी)\b"
+PAGE_BREAK = r"\(.*(?:page|seite|página|pagina|页).*\)"
 PLACEHOLDER_HEADER = r"^column_"
 
 # Labels whose text takes no part in a comparison -> reason.

@@ -58,6 +58,28 @@ CELLS_V2 = _CELLS.format(
 )
 HEADERS = ("Requirement", "Brand", "Field strength", "Frequency range")
 
+_GRID = "SELECT DISTINCT p_partkey % 50 AS t FROM {part}"
+_HEAD = "SELECT 'table ' || CAST(t AS STRING) AS table_uid, CAST({row} AS BIGINT) AS row, {col} AS col, {span} AS col_span, '{text}' AS text FROM (" + _GRID + ") g"
+
+
+def _head(row: str, col: int, span: int, text: str, where: str = "") -> str:
+    return _HEAD.replace("{row}", row).replace("{col}", str(col)).replace("{span}", str(span)).replace("{text}", text) + where
+
+
+def _headed(source: str) -> str:
+    up = "CASE WHEN t % 3 = 0 THEN 1 ELSE 0 END"
+    parts = [
+        _head("0", 0, 5, "Table 7: Limits", " WHERE t % 3 = 0"), _head(up, 0, 1, "Phenomenon"), _head(up, 1, 1, "Frequenz-"), _head(up, 2, 1, "bereich"),
+        _head(up, 3, 2, "Level"), _head(up + " + 1", 3, 1, "min"), _head(up + " + 1", 4, 1, "max"),
+        "SELECT c.table_uid, c.row + 2 + CASE WHEN CAST(substr(c.table_uid, 7) AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END, c.col, 1, c.text FROM (" + source + ") c",
+    ]
+    return " UNION ALL ".join(parts)
+
+
+#: (table_uid, row, col, col_span, text): the cells under two rows of headers, every
+#: third table under a caption row too.
+HEADED_V1, HEADED_V2 = _headed(CELLS_V1), _headed(CELLS_V2)
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 

@@ -37,6 +37,9 @@ CASES = [
     ("obligation_not", lambda: B.obligation_value(lit("Must never")), "must_not"),
     ("obligation", lambda: B.obligation_value(lit("mandatory")), "required"),
     ("obligation_none", lambda: B.obligation_value(lit(None)), ""),
+    ("normative", lambda: B.normative_change(lit("it may"), lit("it shall")), "strengthened"),
+    ("normative_same", lambda: B.normative_change(lit("it may"), lit("it may")), None),
+    ("normative_none", lambda: B.normative_change(lit("it may"), lit("it is")), None),
     ("reference", lambda: B.is_reference_section(arr("Annex A"), lit(True)), True),
     ("reference_numbered", lambda: B.is_reference_section(arr("Annex A", "Tabelle 3"), lit(True)), False),
     ("unit", lambda: B.column_unit(lit("f in MHz"))["unit"], "MHz"),
