@@ -199,13 +199,13 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "node_upsert",
-    f"SELECT node, section, text FROM ({C2}) WHERE node % 2 = 0 UNION ALL SELECT node, section, text FROM ({C1}) WHERE node NOT IN (SELECT node FROM ({C2}) WHERE node % 2 = 0)",
+    f"SELECT node, section, text FROM ({C2}) UNION ALL SELECT node, section, text FROM ({C1}) WHERE node NOT IN (SELECT node FROM ({C2}))",
 )
 def node_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Version 1 with the even nodes of version 2 put over it."""
+    """Version 1 with version 2 put over it, of which older rows come in too."""
     a, b = (v.select("node", "section", "text") for v in versions(spark, sf_dir))
-    stale = b.where("node % 6 = 0").withColumns({"text": F.lit("stale"), "at": F.lit(0)})
-    return stores.upsert(a.withColumn("at", F.lit(0)), b.where("node % 2 = 0").withColumn("at", F.lit(1)).unionByName(stale), "node", "at").drop("at")
+    stale = b.withColumns({"text": F.lit("stale"), "at": F.lit(0)})
+    return stores.upsert(a.withColumn("at", F.lit(0)), b.withColumn("at", F.lit(1)).unionByName(stale), "node", "at").drop("at")
 
 
 @query(

@@ -142,18 +142,18 @@ def page_split_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "continuation_score",
-    "WITH c AS (SELECT p_partkey AS id, p_brand AS section, p_partkey % 7 AS page, p_size % 3 AS n_cols, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'T' || CAST(p_partkey % 2 AS STRING) END AS caption, CAST(p_size AS DOUBLE) AS x0, p_partkey % 2 AS h FROM part) "
+    "WITH c AS (SELECT p_partkey AS id, p_partkey // 50 AS doc, p_brand AS section, p_partkey % 7 AS page, p_size % 3 AS n_cols, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'T' || CAST(p_partkey % 2 AS STRING) END AS caption, CAST(p_size AS DOUBLE) AS x0, p_partkey % 2 AS h FROM part) "
     "SELECT a.id AS l, b.id AS r, round(CASE WHEN a.n_cols <> b.n_cols THEN 0.0 ELSE 0.20 * CASE WHEN a.caption <> '' AND a.caption = b.caption THEN 1.0 ELSE 0.0 END + 0.35 * CASE WHEN a.h = b.h THEN 1.0 ELSE 1.0 / 3 END + 0.10 * greatest(0.0, 1.0 - abs(a.x0 - b.x0) / 100.0) "
-    "+ 0.10 * CASE WHEN a.h = b.h THEN 1.0 ELSE 0.0 END + 0.10 * CASE b.page - a.page WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.0 END + 0.15 END, 6) AS score FROM c a JOIN c b ON a.section = b.section AND b.page - a.page BETWEEN 1 AND 2 AND abs(a.id - b.id) < 50",
+    "+ 0.10 * CASE WHEN a.h = b.h THEN 1.0 ELSE 0.0 END + 0.10 * CASE b.page - a.page WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.0 END + 0.15 END, 6) AS score FROM c a JOIN c b ON a.section = b.section AND b.page - a.page BETWEEN 1 AND 2 AND a.doc = b.doc",
 )
 def continuation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of candidate tables on the pages that follow, in one section."""
+    """Scores of candidate tables on the pages that follow, in one section of a document."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     headers = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("limit"), F.lit("unit"))).otherwise(F.array(F.lit("limit"), F.lit("level")))
     caption = F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.concat(F.lit("T"), (F.col("p_partkey") % 2).cast("string")))
-    c = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("section"), (F.col("p_partkey") % 7).alias("page"), (F.col("p_size") % 3).alias("n_cols"), caption.alias("caption"), F.col("p_size").cast("double").alias("x0"), headers.alias("headers"))
+    c = p.select(F.col("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 50).alias("doc"), F.col("p_brand").alias("section"), (F.col("p_partkey") % 7).alias("page"), (F.col("p_size") % 3).alias("n_cols"), caption.alias("caption"), F.col("p_size").cast("double").alias("x0"), headers.alias("headers"))
     gap = F.col("b.page") - F.col("a.page")
-    near = c.alias("a").join(c.alias("b"), (F.col("a.section") == F.col("b.section")) & gap.between(1, 2) & (F.abs(F.col("a.id") - F.col("b.id")) < 50))
+    near = c.alias("a").join(c.alias("b"), (F.col("a.section") == F.col("b.section")) & gap.between(1, 2) & (F.col("a.doc") == F.col("b.doc")))
     return near.select(F.col("a.id").alias("l"), F.col("b.id").alias("r"), F.round(tables.continuation_score(), 6).alias("score"))
 
 
