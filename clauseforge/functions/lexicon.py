@@ -284,3 +284,10 @@ ROW_STEPS = ("step", "procedure", "verification", "measurement", "check", "valid
 
 # Answers of a model that say nothing changed.
 NO_CHANGE = ("(no semantic change)", "(no change)", "no semantic change", "no change")
+
+# Numbers with units and domain entities that clause scores compare.
+SCORED_NUMBER = r"\b\d+(?:[.,]\d+)?\s*(?:v/m|mv/m|khz|mhz|ghz|hz|dbuv|dbua|v|a|%|ms|s|m|cm|mm)?\b"
+SCORED_ENTITY = (
+    r"\b(?:class\s*[a-e]|performance\s*criterion\s*[a-e]|iec\s*\d+[-\s.]\d+|cispr\s*\d+|iso\s*\d+[-\s.]\d+"
+    r"|radiated|conducted|esd|immunity|emission)\b"
+)
