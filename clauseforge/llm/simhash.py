@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clauseforge.llm.components import connected_components
@@ -262,8 +263,10 @@ def shingle_hashes(text: bytes | None, width: int = 5) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     width = min(width, len(words))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + width]), SEED) for i in range(len(words) - width + 1)], np.uint64))
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
+    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64))
 
 
 def verified_links(fps: np.ndarray, reps: np.ndarray, sets: list[np.ndarray], resident: np.ndarray, within: bool, radius: int, similarity: float):
@@ -294,6 +297,141 @@ def verified_links(fps: np.ndarray, reps: np.ndarray, sets: list[np.ndarray], re
     return reps[moved], reps[root[moved]]
 
 
+COMMON, SAMPLE = 1 << 16, 32  # frequent shingles that are put last, and one in how many documents tells them
+BITS = 512  # of a set's parities, at least
+
+
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, with their ranks from 1 by falling rarity, in a
+    sample.  They only order shingles, so a sample costs no pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_hashes(x.as_py(), width) for x in b.column(1)]
+            k, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
+
+    some = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SAMPLE)) == 0).mapInArrow(run, "k long, n long")
+    top = some.groupBy("k").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "k").limit(COMMON).toArrow()
+    k = top["k"].to_numpy().view(np.uint64)
+    order = np.argsort(k)
+    return k[order], (len(k) - np.arange(len(k)))[order]
+
+
+def rare_first(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The hashes in one order for all texts: common ones last, the most frequent at the end."""
+    if not len(common[0]):
+        return hashes
+    at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+    return hashes[np.lexsort((hashes, np.where(common[0][at] == hashes, common[1][at], 0)))]
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """For each of BITS classes of hashes, or of as many as there are hashes (a power of two),
+    whether their number is odd.  Two sets differ in as many elements, at least, as
+    these bits do."""
+    n = max(BITS, 1 << (max(len(hashes), 1) - 1).bit_length())
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % n, minlength=n) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _differ(bits: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many parities rows a and b differ; the longer ones are folded to the
+    shorter, which gives the parities of fewer classes."""
+    words = [np.frombuffer(x, np.uint64) for x in bits]
+    sizes = np.array([len(w) for w in words])
+    least, out = np.minimum(sizes[a], sizes[b]), np.zeros(len(a), np.int64)
+    for n in np.unique(least).tolist():
+        here = np.flatnonzero(least == n)
+        used, place = np.unique(np.concatenate([a[here], b[here]]), return_inverse=True)
+        folded = np.array([np.bitwise_xor.reduce(words[k].reshape(-1, n), axis=0) for k in used.tolist()])
+        p, q = place[: len(here)], place[len(here) :]
+        for at in range(0, len(here), 1 << 14):
+            s = slice(at, at + (1 << 14))
+            out[here[s]] = np.bitwise_count(folded[p[s]] ^ folded[q[s]]).sum(1, dtype=np.int64)
+    return out
+
+
+def possible_pairs(t: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (node, component, size, at, bits, x, own) that share the shingle in place
+    ``at`` of their order, the pairs of two components that sizes, places and
+    parities do not rule out, if it is the first that they share."""
+    node, comp, size, at, x, own = (t[c].to_numpy() for c in ("node", "component", "size", "at", "x", "own"))
+    bits = t["bits"].to_pylist()
+    resident = own | (x == x.min())
+    within, out = bool(own.any()), [(node[:0], node[:0])]
+    right = np.arange(len(node)) if within else np.flatnonzero(~resident)
+    step = max(1, (1 << 20) // max(len(right), 1))
+    left = np.flatnonzero(resident)
+    for k in range(0, len(left), step):
+        i = left[k : k + step, None]
+        both = size[i] + size[right]
+        need = similarity / (1 + similarity) * both - 1e-6
+        ok = (comp[i] != comp[right]) & (np.minimum(size[i] - at[i], size[right] - at[right]) >= need)
+        ok &= np.minimum(size[i], size[right]) >= similarity * np.maximum(size[i], size[right]) - 1e-6
+        a, b = np.nonzero(ok)
+        a, b = i[a, 0], right[b]
+        differ = _differ(bits, a, b)
+        fits = (size[a] + size[b] - differ) / 2 >= similarity / (1 + similarity) * (size[a] + size[b]) - 1e-6
+        out.append((np.minimum(node[a], node[b])[fits], np.maximum(node[a], node[b])[fits]))
+    pairs = np.unique(np.stack([np.concatenate(o) for o in zip(*out, strict=True)], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def shingle_links(texts: DataFrame, nodes: DataFrame, labels: DataFrame, width: int, similarity: float, rows_per_block: int) -> DataFrame:
+    """Edges ``(a, b)`` of all pairs of ``nodes(rep)``, with their ``texts(doc_id, text)``,
+    of a Jaccard similarity of at least ``similarity`` that ``labels(node, component)``
+    does not yet connect.
+
+    A prefix filter: in one order of all shingles, two such texts share one of the first
+    n - ceil(similarity * n) + 1 of their n.  Shingles that many texts share come last, a
+    large group of texts meets in blocks, and what the bounds leave is compared."""
+    common = common_shingles(texts, width)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(x.as_py(), width) for x in b.column(1)]
+            first = [rare_first(h, common)[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1] if len(h) else h for h in sets]
+            columns = [b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([parities(h) for h in sets], pa.binary())]
+            ends = np.cumsum([0, *map(len, first)])
+            keys = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*columns, keys.cast(pa.list_(pa.int64()))], ["node", "size", "bits", "keys"])
+
+    signed = materialize(texts.mapInArrow(sign, "node long, size long, bits binary, keys array<long>"), "signed")
+    signed = signed.join(nodes.select("rep").hint("merge"), signed["node"] == F.col("rep"), "left_semi")
+    label = labels.select(F.col("node").alias("l_node"), F.col("component").alias("l_component"))
+    known = signed.join(label.hint("merge"), signed["node"] == F.col("l_node"), "left").withColumn("component", F.coalesce("l_component", "node"))
+    w = W.partitionBy("key")
+    met = known.select("node", "component", F.posexplode("keys").alias("at", "key"))
+    met = met.withColumns({"low": F.min("component").over(w), "high": F.max("component").over(w), "n": F.count("*").over(w)}).where("low < high")
+    met = materialize(met.select("key", F.col("node").alias("m_node"), "component", F.col("at").cast("long").alias("at"), F.ceil(F.col("n") / rows_per_block).alias("blocks")), "met")
+    rows = met.join(signed.select("node", "size", "bits").hint("merge"), F.col("m_node") == F.col("node"))
+    rows = rows.withColumn("x", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = rows.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node", "component", "size", "at", "bits", "x", (F.col("x") == F.col("y")).alias("own"))
+    pairs = materialize(_by_group(dealt, 3, lambda t: _edges(possible_pairs(t, similarity)) if len(t) > 1 else None, "a long, b long").distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct()
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([shingle_hashes(x.as_py(), width).tobytes() for x in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], ["node", "hashes"])
+
+    sets = materialize(texts.join(asked.hint("merge"), texts["doc_id"] == F.col("asked"), "left_semi").mapInArrow(hashes, "node long, hashes binary"), "sets")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            alike = []
+            for p, q in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(h.as_py(), np.uint64) for h in (p, q))
+                both = int(np.isin(x, y, assume_unique=True, kind="sort").sum())
+                alike.append(both > 0 and both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    one, two = (sets.select(F.col("node").alias(f"{k}_node"), F.col("hashes").alias(f"{k}_hashes")) for k in "ab")
+    told = pairs.join(one.hint("merge"), F.col("a") == F.col("a_node")).join(two.hint("merge"), F.col("b") == F.col("b_node"))
+    return told.select("a", "b", "a_hashes", "b_hashes").mapInArrow(compare, "a long, b long")
+
+
 def similar_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -306,11 +444,11 @@ def similar_groups(
     """``(doc_id, component_id)`` of every row with an id: groups linked by a
     Jaccard similarity of word shingles of at least ``similarity``.
 
-    SimHash finds the candidates, 64 bits over 3-word shingles within ``radius``
-    (a similarity of 0.8 at five words changes some 7 of these bits, with a
-    standard deviation of 2.5); their clusters are found without naming pairs,
+    SimHash finds most candidates, 64 bits over 3-word shingles within ``radius``
+    (a similarity of 0.8 at five words, of scattered words, changes some 7 of these bits,
+    with a standard deviation of 2.5); their clusters are found without naming pairs,
     and within each the shingles decide, in blocks of ``rows_per_block`` where it is
-    large.  Texts equal but for case and white space collapse first.  A text
+    large.  ``shingle_links`` adds every pair beyond the radius.  Texts equal but for case and white space collapse first.  A text
     without words is like any other such text.  Null ids take no part."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -352,7 +490,9 @@ def similar_groups(
         sets = [np.frombuffer(h, np.uint64) for h in t["hashes"].to_pylist()]
         return _edges(verified_links(t["fp"].to_numpy().view(np.uint64), t["node"].to_numpy(), sets, resident, bool(own.any()), radius, similarity))
 
-    labels = connected_components(_by_group(dealt, 3, verify, "a long, b long"))
+    near = materialize(connected_components(_by_group(dealt, 3, verify, "a long, b long")), "near")
+    rest = shingle_links(texts, distinct, near, width, similarity, rows_per_block)
+    labels = connected_components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
     by_key = distinct.join(labels, distinct["rep"] == labels["node"], "left").select(
         F.col("key").alias("k"), F.coalesce("component", "rep").alias("component_id")
     )

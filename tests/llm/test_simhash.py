@@ -103,3 +103,25 @@ def test_similar_groups_equal_brute_force(spark):
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     for size in (2000, 3):
         assert {r.doc_id: r.component_id for r in S.similar_groups(df, rows_per_block=size).collect()} == want
+
+
+def test_similar_groups_beyond_the_radius(spark):
+    """Tails, blocks and repeated lines move many bits of a fingerprint, or few."""
+    rnd, rows = random.Random(5), []
+    fresh = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    for k in range(160):
+        base = fresh((60, 200)[k % 2])
+        n = len(base) - 4
+        cut = n // 10 - 5  # a block of cut words costs cut + 4 shingles a side
+        line = fresh(12)
+        rows += [base, base + fresh(n // 4 - 1), base[:20] + fresh(cut) + base[20 + cut :]] if cut > 0 else [base, base + fresh(n // 4 - 1)]
+        if k % 8 == 0:
+            rows += [line * 9 + base, line * 2 + base, line * 9 + fresh(30)]
+    texts = {i: " ".join(r) for i, r in enumerate(rows)}
+    sets = {i: set(S.shingle_hashes(t.encode()).tolist()) for i, t in texts.items()}
+    want = components(list(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    far = [(a, b) for a in texts for b in range(a + 1, min(a + 6, len(rows))) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and (S.fingerprint(texts[a].encode()) ^ S.fingerprint(texts[b].encode())).bit_count() > 12]
+    assert far
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for size in (2000, 3):
+        assert {r.doc_id: r.component_id for r in S.similar_groups(df, rows_per_block=size).collect()} == want
