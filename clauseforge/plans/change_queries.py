@@ -184,18 +184,15 @@ def subgraph_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("clause_greedy_match")
 def clause_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All clauses, matched by score within their section and page as if they had no
-    ids."""
-    left, right = (v.withColumn("place", F.concat_ws("|", "section", "page")) for v in versions(spark, sf_dir))
-    return matching.match_blocks(left, right, "place")
+    """All clauses, matched by score within their section as if they had no ids."""
+    return matching.match_blocks(*versions(spark, sf_dir), "section")
 
 
 @query("moves")
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses without an equal one in their section, matched across the sections of a
-    nation and page."""
-    nation = F.element_at(F.split("section", " / "), -1)
-    left, right = (v.withColumn("place", F.concat_ws("|", nation, "page")) for v in versions(spark, sf_dir))
+    nation."""
+    left, right = (v.withColumn("place", F.element_at(F.split("section", " / "), -1)) for v in versions(spark, sf_dir))
     return matching.moves(left.join(right, ["section", "text"], "left_anti"), right.join(left, ["section", "text"], "left_anti"), "place")
 
 
