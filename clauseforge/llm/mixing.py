@@ -9,6 +9,7 @@ are."""
 
 from __future__ import annotations
 
+import logging
 from math import log
 from typing import Literal
 
@@ -23,6 +24,8 @@ TRAIN_ROWS = 4_000  # labelled rows to count from, at most
 SHRINK = 20.0  # pseudo-counts that draw a rare bucket's evidence to none
 SHARPNESS = 300.0  # words' worth of evidence that a document's mean counts as, at most
 STEPS, TOLERANCE, CUT = 60, 1e-4, 12
+MISS = 0.01
+LOG = logging.getLogger(__name__)
 
 
 def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -102,13 +105,14 @@ def _largest_eigenvalue(m: list[list[float]]) -> float:
     return size
 
 
-def fit_rates(members: DataFrame, n: int, targets: list[float], total_tokens: float | None = None, keep_domain: int | None = None, lowest: float = 0.0) -> tuple[DataFrame, list[float]]:
+def fit_rates(members: DataFrame, n: int, targets: list[float], total_tokens: float | None = None, keep_domain: int | Literal["fullest"] | None = None, lowest: float = 0.0) -> tuple[DataFrame, list[float]]:
     """``members(doc_id, n_tokens, p0, ...)`` -> the same with ``rate``, and the
     relative residual of each domain.
 
     The targets are weights that are scaled to sum 1, times ``total_tokens``: by
     default the tokens there are, or with ``keep_domain`` as many as leave that
-    domain's tokens unchanged.  Least squares weigh each domain's residual by the
+    domain's tokens unchanged ("fullest": the one with the most tokens for its target,
+    so that no other has to be lowered).  Least squares weigh each domain's residual by the
     inverse of its natural share, and steps start from rate 1, so that without a
     need to change nothing does; rates are projected to ``lowest`` or more.  Each step is one aggregation; the rates are an
     expression of the residuals so far and are written out every CUT steps."""
@@ -125,6 +129,8 @@ def fit_rates(members: DataFrame, n: int, targets: list[float], total_tokens: fl
     if whole <= 0 or scale <= 0:
         return now, [0.0] * n
     share = [w / scale for w in targets]
+    if keep_domain == "fullest":
+        keep_domain = max((i for i in range(n) if share[i] > 0), key=lambda i: first[f"m{i}"] / share[i])
     if total_tokens is None:
         total_tokens = whole if keep_domain is None else first[f"m{keep_domain}"] / max(share[keep_domain], 1e-9)
     wanted = [s * total_tokens / whole for s in share]
@@ -163,9 +169,12 @@ def mix(
     keep_domain: str | None = None,
     lowest: float = 0.0,
     rounding: Literal["random", "nearest"] = "random",
+    raise_only: bool = False,
 ) -> DataFrame:
     """``(doc_id, n_tokens, p_<domain>..., rate, copies)``, one row for each id of
     ``docs``, given ``labelled(doc_id, domain)`` and target weights by domain.
+    ``raise_only``: no rate is below 1, and the fullest domain keeps its tokens.  What
+    targets are missed by, as shares of all tokens, is logged, from MISS on as a warning.
 
     Null and empty texts have no tokens and the labelled shares as posteriors.
     Rows that repeat an id are one document with all their text; null ids take no
@@ -174,7 +183,10 @@ def mix(
     domains = sorted(targets)
     weights, priors = train(docs, labelled, domains, id_col, text_col)
     members = posteriors(docs, weights, priors, id_col, text_col)
-    fitted, _ = fit_rates(members, len(domains), [targets[d] for d in domains], total_tokens, None if keep_domain is None else domains.index(keep_domain), lowest)
+    keep = "fullest" if raise_only else None if keep_domain is None else domains.index(keep_domain)
+    fitted, missed = fit_rates(members, len(domains), [targets[d] for d in domains], total_tokens, keep, 1.0 if raise_only else lowest)
+    worst = max(map(abs, missed), default=0.0)
+    LOG.log(logging.WARNING if worst >= MISS else logging.INFO, "mixing misses its targets by %s", {d: round(m, 4) for d, m in zip(domains, missed, strict=True)})
     return fitted.select(
         "doc_id", "n_tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate",
         copies(F.col("rate"), F.col("doc_id"), rounding).alias("copies"),

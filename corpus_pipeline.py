@@ -40,9 +40,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents by their rates towards the languages' target weights.  No
-    rate is below 1, so every document stays; rows without an id stay once."""
+    rate is below 1, so every document stays, and the language with the most tokens for
+    its target keeps its own; rows without an id stay once."""
     labelled = docs.select("doc_id", F.col("lang").alias("domain"))
-    mixed = mixing.mix(docs, labelled, LANGUAGE_TARGETS, keep_domain="en", lowest=1.0).select(F.col("doc_id").alias("mixed_id"), F.col("copies").alias("mixed_copies"))
+    mixed = mixing.mix(docs, labelled, LANGUAGE_TARGETS, raise_only=True).select(F.col("doc_id").alias("mixed_id"), F.col("copies").alias("mixed_copies"))
     joined = docs.join(mixed.hint("merge"), docs["doc_id"] == mixed["mixed_id"], "left")
     times = F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce(mixed["mixed_copies"], F.lit(1)), F.lit(1))))
     return joined.select(*[docs[c] for c in docs.columns], times.alias("mixed_copy")).drop("mixed_copy")

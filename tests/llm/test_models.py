@@ -150,3 +150,27 @@ def test_mixing_runs_no_python_on_executors(spark):
     weights, priors = mixing.train(docs, docs.selectExpr("doc_id", "lang domain"), ["de", "en"])
     plan = mixing.posteriors(docs, weights, priors)._jdf.queryExecution().executedPlan().toString()
     assert not any(k in plan for k in ("Python", "Arrow", "Pandas"))
+
+
+def test_any_domain_can_be_the_fullest(spark):
+    n = {"de": 50, "en": 30, "es": 10, "fr": 10}
+    rows = [(d, float(k), [float(d == e) for e in n]) for k, d in enumerate(d for d, m in n.items() for _ in range(m))]
+    members = spark.createDataFrame([(int(k), 100, *p) for _, k, p in rows], "doc_id long, n_tokens long, p0 double, p1 double, p2 double, p3 double")
+    fitted, missed = mixing.fit_rates(members, 4, [0.2, 0.4, 0.2, 0.2], keep_domain="fullest", lowest=1.0)
+    got = fitted.selectExpr("min(rate) low", *[f"sum(rate * n_tokens * p{i}) / sum(rate * n_tokens) s{i}" for i in range(4)]).first()
+    assert got.low == 1.0 and max(abs(m) for m in missed) < 0.01
+    assert [round(got[f"s{i}"], 2) for i in range(4)] == [0.2, 0.4, 0.2, 0.2]
+
+
+def test_mixing_stage_lowers_no_language_and_tells_what_it_misses(spark, caplog):
+    import corpus_pipeline as P
+
+    words = {"de": "der die das und ein", "en": "the and of to in", "fr": "le la les et une", "es": "el los las y una"}
+    n = {"de": 100, "en": 60, "fr": 20, "es": 20}
+    rows = [(k, words[d] * 1 + f" {words[d]}" * 5, d) for k, d in enumerate(d for d, m in n.items() for _ in range(m))]
+    got = {r["lang"]: r["count"] for r in P.mix_languages(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").groupBy("lang").count().collect()}
+    whole = sum(got.values())
+    assert got["de"] >= 100 and abs(got["en"] / whole - 0.4) < 0.05 and abs(got["de"] / whole - 0.2) < 0.05
+    with caplog.at_level("INFO", logger="clauseforge.llm.mixing"):
+        P.mix_languages(spark, spark.createDataFrame([r for r in rows if r[2] != "en"], "doc_id long, text string, lang string"), "")
+    assert any(r.levelname == "WARNING" and "'en': -" in r.getMessage() for r in caplog.records)
