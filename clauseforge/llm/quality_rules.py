@@ -16,12 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseforge.llm.labelled import sample_rows
 
 BUCKETS = 1 << 14
 GRAM = 4
 BLOCK = 1 << 20  # bytes hashed at a time
-TRUSTED_ROWS = 20_000
 THRESHOLD = -0.42
 SYMBOLS = b"#*$%&|<>"
 
@@ -109,24 +107,23 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     threshold: float = THRESHOLD,
-    trusted_rows: int = TRUSTED_ROWS,
 ) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, llr, kept)``, one row per row of ``docs``.
 
-    ``trusted(doc_id)`` names the trusted target, of which at most
-    ``trusted_rows`` documents are used (those of least hash).  ``base_failed``:
+    ``trusted(doc_id)`` names the trusted target, all of whose documents count.
+    ``base_failed``:
     under 10 words, or over a fifth of the words in repeated 5-word windows.
     ``kept``: not base_failed and ``llr >= threshold``.  A null text counts as
     empty: no words, llr 0, failed.  Without a trusted row every llr is 0.
     Repeated rows stay; null ids are never trusted; an empty table gives no rows;
     further columns are ignored."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    ids = sample_rows(
-        trusted.select(F.col(id_col).alias("t_id")).where("t_id is not null").distinct(), "t_id", trusted_rows
-    )
-    marked = rows.join(F.broadcast(ids), rows["doc_id"] == ids["t_id"], "left").select(
-        "text", F.col("t_id").isNotNull().alias("trusted")
+    ids = trusted.select(F.col(id_col).alias("t_id")).where("t_id is not null").distinct()
+    # null ids stay out of the join, where they would meet in one task
+    met = rows.where("doc_id is not null").join(ids.hint("merge"), rows["doc_id"] == ids["t_id"], "left")
+    marked = met.select("text", F.col("t_id").isNotNull().alias("trusted")).unionByName(
+        rows.where("doc_id is null").select("text", F.lit(False).alias("trusted"))
     )
     weights = log_ratio(count_grams(marked))
 

@@ -174,3 +174,12 @@ def test_mixing_stage_lowers_no_language_and_tells_what_it_misses(spark, caplog)
     with caplog.at_level("INFO", logger="clauseforge.llm.mixing"):
         P.mix_languages(spark, spark.createDataFrame([r for r in rows if r[2] != "en"], "doc_id long, text string, lang string"), "")
     assert any(r.levelname == "WARNING" and "'en': -" in r.getMessage() for r in caplog.records)
+
+
+def test_every_trusted_document_counts(spark, monkeypatch):
+    docs = spark.range(20_500).selectExpr("id doc_id", "concat('alpha beta ', id) text").union(spark.createDataFrame([(None, "gamma delta")], "doc_id long, text string"))
+    seen, count = [], quality_rules.count_grams
+    monkeypatch.setattr(quality_rules, "count_grams", lambda d: seen.append(count(d)) or seen[-1])
+    assert quality_rules.quality_rules(docs, docs.where("doc_id < 20400").select("doc_id")).count() == 20_501
+    want = count(docs.selectExpr("cast(text as binary) text", "coalesce(doc_id < 20400, false) trusted"))
+    assert (seen[0] == want).all()
