@@ -124,7 +124,8 @@ def train(
     rows: int = ROWS,
 ) -> Model:
     """Fit on labelled rows of ``docs``: of each language at most
-    ``per_language`` and ``rows`` in all, those of the least hash of the id.
+    ``per_language`` and ``rows`` in all, those of the least hash of the id, and
+    one of each language whatever the bound.
     Rows with a null language, id or text, or without a letter, are passed over.
     Whole texts are profiled on the executors, where they are; only the sample's
     profiles come to the driver."""
@@ -132,14 +133,13 @@ def train(
     known = known.where("doc_id is not null and lang is not null")
     # the hash bound that leaves enough of each language, from counts alone, so that no
     # language's rows meet in one task
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    rate = F.lit(None).cast("double")
-    for lang, n in sizes.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * per_language / n))).otherwise(rate)
-    near = known.where(F.pmod("h", F.lit(1_000_003)) < F.ceil(rate * 1_000_003))
+    sizes = known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+    bound = F.ceil(F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n")) * 1_000_003)
+    near = known.join(F.broadcast(sizes.select("of", bound.alias("bound"))), F.col("lang") == F.col("of")).where(F.pmod("h", F.lit(1_000_003)) < F.col("bound"))
     first = W.partitionBy("lang").orderBy("h", "doc_id")
-    picked = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language)
-    picked = sample_rows(picked.select(F.col("doc_id").alias("t_id")).distinct(), "t_id", rows)
+    ranked = near.select("doc_id", "lang", F.row_number().over(first).alias("r")).where(F.col("r") <= per_language)
+    one = ranked.where("r = 1").select(F.col("doc_id").alias("t_id"))
+    picked = sample_rows(ranked.select(F.col("doc_id").alias("t_id")).distinct(), "t_id", rows).union(one).distinct()
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,11 +202,17 @@ def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text is in some language the model knows (not
-    ``und``), with all their columns."""
-    of = predict_batches(model, docs.columns.index(text_col))
+    ``und``), with all their columns.  A model without languages keeps every text with
+    a letter."""
+    column = docs.columns.index(text_col)
+    of = predict_batches(model, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([x != UNDETERMINED for x in of(b)[0]], pa.bool_()))
+            if model.languages:
+                keep = [x != UNDETERMINED for x in of(b)[0]]
+            else:
+                keep = [bool(_LETTER.search(x.as_py() or "")) for x in b.column(column)]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -183,3 +183,17 @@ def test_every_trusted_document_counts(spark, monkeypatch):
     assert quality_rules.quality_rules(docs, docs.where("doc_id < 20400").select("doc_id")).count() == 20_501
     want = count(docs.selectExpr("cast(text as binary) text", "coalesce(doc_id < 20400, false) trusted"))
     assert (seen[0] == want).all()
+
+
+def test_rare_languages_are_learned_and_unlabelled_texts_stay(spark):
+    rows = [(k, f"wort{k} der die das", f"l{k // 2:04d}") for k in range(2100)] + [(9999, "zzz qqq", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    caught = []
+    fit, langid.fit = langid.fit, lambda x, y, names: caught.append(names)
+    try:
+        langid.train(docs, rows=50)
+    finally:
+        langid.fit = fit
+    assert len(caught[0]) == 1051 and "zz" in caught[0]
+    blank = docs.limit(3).selectExpr("doc_id", "text", "cast(null as string) lang").union(spark.sql("select 5L, '12 3', null union all select 6L, null, null"))
+    assert langid.keep_known(blank, langid.train(blank)).count() == 3
