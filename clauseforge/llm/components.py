@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauseforge.llm.storage import materialize
+from clauseforge.llm.storage import discard, materialize
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -48,7 +48,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if now.isEmpty():
             break
-        now = materialize(small_star(large_star(now)), "stars")
+        last, now = now, materialize(small_star(large_star(now)), "stars")
+        discard(last)
         seen = now.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
         ).first()

@@ -191,3 +191,14 @@ def mix(
         "doc_id", "n_tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate",
         copies(F.col("rate"), F.col("doc_id"), rounding).alias("copies"),
     )
+
+
+def repeat(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with their columns, as often as ``mixed(doc_id, copies)``
+    says, but once at least; rows without an id, or with one that it lacks, once."""
+    free = "_" * (1 + max((len(c) - len(c.rstrip("_")) for c in docs.columns), default=0))
+    told = mixed.select(F.col("doc_id").alias(f"mixed_id{free}"), F.col("copies").alias(f"copies{free}"))
+    named = docs.where(F.col(id_col).isNotNull()).join(told.hint("merge"), docs[id_col] == told[f"mixed_id{free}"], "left")
+    times = F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce(f"copies{free}", F.lit(1)), F.lit(1))))
+    # null ids stay out of the join, where they would meet in one task
+    return named.select(*docs.columns, times.alias(f"copy{free}")).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

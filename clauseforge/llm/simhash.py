@@ -1,12 +1,13 @@
 """Near-duplicate detection with 64-bit SimHash fingerprints.
 
 Fingerprints are compared exactly.  Equal ones collapse first, so a group of
-copies is one row.  Each distinct fingerprint is sent to the cell of its
-population counts (upper and lower half) and, as a visitor, to the cells that
-follow within the radius; a task compares one cell tile by tile with numpy
-exclusive-or and bit counts and skips tile pairs whose population counts (of
-four 16-bit words) differ beyond the radius.  A task returns a spanning forest of
-the links it found, never all pairs; components come from those forests."""
+copies is one row.  Each distinct fingerprint is a resident of the cell of its
+population counts (upper and lower half) and visits the cells that follow within the
+radius; residents and visitors of a cell are dealt into blocks of a bounded size, and
+a task compares one block with another tile by tile with numpy exclusive-or and bit
+counts, skipping tile pairs whose population counts (of four 16-bit words) differ
+beyond the radius.  A task returns a spanning forest of the links it found, never all
+pairs; components come from those forests."""
 
 from __future__ import annotations
 
@@ -18,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from clauseforge.llm.components import connected_components
 from clauseforge.llm.storage import materialize
@@ -94,42 +96,36 @@ class _Forest:
             self.up[high] = low[first]
 
 
-def near_tiles(
-    fps: np.ndarray, resident: np.ndarray, radius: int, within: bool = True, tile: int = TILE
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (indices) within ``radius`` bits, tile pair by tile pair:
-    residents with visitors and, if ``within``, with residents."""
+def near_tiles(fps: np.ndarray, resident: np.ndarray, radius: int, tile: int = TILE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (indices) of a resident and a visitor within ``radius`` bits, tile pair by
+    tile pair."""
     parts = _parts(fps)
     order = np.lexsort((*parts.T, ~resident))  # residents first, each by its words' population counts
     fps, parts, n_res = fps[order], parts[order], int(resident.sum())
-    cuts = [*range(0, n_res, tile), *range(n_res, len(fps), tile), len(fps)]
-    spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-    low = np.array([parts[s:e].min(0) for s, e in spans])
-    high = np.array([parts[s:e].max(0) for s, e in spans])
-    for i, (s, e) in enumerate(spans):
-        if s >= n_res:
-            break
-        gap = np.maximum(0, np.maximum(low[i] - high[i:], low[i:] - high[i])).sum(1)
-        for j in np.flatnonzero(gap <= radius) + i:
-            p, q = spans[j]
-            if p < n_res and not within:
-                continue
-            near = np.bitwise_count(fps[s:e, None] ^ fps[None, p:q]) <= radius
-            if i == j:
-                near = np.triu(near, 1)
-            a, b = np.nonzero(near)
+    here = [(s, min(s + tile, n_res)) for s in range(0, n_res, tile)]
+    there = [(s, min(s + tile, len(fps))) for s in range(n_res, len(fps), tile)]
+    if not here or not there:
+        return
+    low = np.array([parts[s:e].min(0) for s, e in there])
+    high = np.array([parts[s:e].max(0) for s, e in there])
+    for s, e in here:
+        gap = np.maximum(0, np.maximum(parts[s:e].min(0) - high, low - parts[s:e].max(0))).sum(1)
+        for j in np.flatnonzero(gap <= radius):
+            p, q = there[j]
+            a, b = np.nonzero(np.bitwise_count(fps[s:e, None] ^ fps[None, p:q]) <= radius)
             if len(a):
                 yield order[a + s], order[b + p]
 
 
-def link_cell(fps: np.ndarray, reps: np.ndarray, resident: np.ndarray, radius: int = 3, within: bool = True, tile: int = TILE):
-    """The links of ``near_tiles`` as a forest: edges (rep, least rep of its tree)."""
-    forest = _Forest(reps)
-    for a, b in near_tiles(fps, resident, radius, within, tile):
-        forest.link(a, b)
-    root = forest.roots(np.arange(len(fps)))
-    moved = root != np.arange(len(fps))
-    return reps[moved], reps[root[moved]]
+def link_block(fps: np.ndarray, resident: np.ndarray, radius: int = 3, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """The links of ``near_tiles`` as a forest: edges of fingerprints, as signed longs."""
+    names, place = np.unique(fps.view(np.int64), return_inverse=True)
+    forest = _Forest(names)
+    for a, b in near_tiles(fps, resident, radius, tile):
+        forest.link(place[a], place[b])
+    root = forest.roots(np.arange(len(names)))
+    moved = root != np.arange(len(names))
+    return names[moved], names[root[moved]]
 
 
 def _by_group(df: DataFrame, n_keys: int, each: Callable, schema: str) -> DataFrame:
@@ -165,71 +161,34 @@ def _edges(found) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"]) if len(found[0]) else None
 
 
-def near_links(distinct: DataFrame, radius: int = 3, rows_per_slab: int = 2_000_000) -> DataFrame:
-    """``distinct(fp, rep)``, one row per fingerprint -> edges ``(a, b)`` between
-    reps that connect exactly the fingerprints within ``radius`` bits.
-
-    Cells are (slab, count of the upper half, count of the lower half); beyond
-    ``rows_per_slab`` fingerprints the residents of each cell are spread over
-    more slabs, and visitors and their own cell go to all of them."""
-    n = distinct.count()
-    slabs = max(1, -(-n // rows_per_slab))
-    offsets = [
-        (x, y)
-        for x in range(0, radius + 1)
-        for y in range(-radius, radius + 1)
-        if abs(x) + abs(y) <= radius and (x > 0 or y >= 0)
+def near_links(distinct: DataFrame, radius: int = 3, rows_per_block: int = 8_192) -> DataFrame:
+    """``distinct(fp)``, one row per fingerprint -> edges ``(a, b)`` that connect
+    exactly the fingerprints within ``radius`` bits.
+
+    Cells are (count of the upper half, count of the lower half), 33 * 33 at most, so
+    their sizes may come to the driver.  A cell of r residents and v visitors (its own
+    rows are among them) has ceil(r / rows_per_block) * ceil(v / rows_per_block) tasks'
+    worth of blocks, at every size."""
+    hi, lo = F.bit_count(F.shiftrightunsigned("fp", 32)), F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF))
+    counted = distinct.select("fp", hi.alias("hi"), lo.alias("lo"))
+    sizes = {(r["hi"], r["lo"]): r["n"] for r in counted.groupBy("hi", "lo").agg(F.count("*").alias("n")).collect()}
+    offsets = [(x, y) for x in range(0, radius + 1) for y in range(-radius, radius + 1) if x + abs(y) <= radius and (x > 0 or y >= 0)]
+    blocks = [
+        (100 * x + y, -(-n // rows_per_block), -(-sum(sizes.get((x - i, y - j), 0) for i, j in offsets) // rows_per_block)) for (x, y), n in sizes.items()
     ]
-    hi = F.bit_count(F.shiftrightunsigned("fp", 32))
-    lo = F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF))
-    moves = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in offsets])
-    sent = (
-        distinct.select("fp", "rep", hi.alias("hi"), lo.alias("lo"), F.explode(moves).alias("o"))
-        .select(
-            "fp",
-            "rep",
-            ((F.col("hi") + F.col("o.x")) * 100 + F.col("lo") + F.col("o.y")).alias("cell"),
-            (F.col("o.x").eqNullSafe(0) & F.col("o.y").eqNullSafe(0)).alias("own"),
-            ((F.col("hi") + F.col("o.x")).between(0, 32) & (F.col("lo") + F.col("o.y")).between(0, 32)).alias("there"),
-        )
-        .where("there")
-    )
-    home = F.pmod(F.xxhash64("fp"), F.lit(slabs))
-    if slabs == 1:
-        sent = sent.withColumn("resident", F.col("own")).withColumn("slab", F.lit(0).cast("long"))
-    else:
-        # a cell's rows all visit every slab; in its own slab a row is resident, and
-        # of two residents of different slabs the one with the smaller slab is visited
-        sent = (
-            sent.withColumn("home", home)
-            .withColumn("slab", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slabs - 1).cast("long"))))
-            .withColumn("resident", F.col("own") & (F.col("home") == F.col("slab")))
-            .where("not own or home >= slab")
-        )
+    dealt = F.broadcast(distinct.sparkSession.createDataFrame(blocks, "cell int, ni long, nj long"))
+    part = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), F.col(n))
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    moves = F.explode(F.array(*[F.lit(100 * x + y) for x, y in offsets]))
+    residents = counted.select("fp", (F.col("hi") * 100 + F.col("lo")).alias("cell")).join(dealt, "cell").select("cell", part("ni", 1).alias("i"), span("nj").alias("j"), "fp", F.lit(True).alias("resident"))
+    near = counted.select("fp", "hi", "lo", moves.alias("o")).select("fp", (F.col("hi") * 100 + F.col("lo") + F.col("o")).alias("cell"))
+    visitors = near.join(dealt, "cell").select("cell", span("ni").alias("i"), part("nj", 2).alias("j"), "fp", F.lit(False).alias("resident"))
+    key = F.col("cell") * F.lit(1 << 48) + F.col("i") * F.lit(1 << 24) + F.col("j")
 
     def each(t: pa.Table) -> pa.RecordBatch | None:
-        resident = t["resident"].to_numpy()
-        return _edges(link_cell(t["fp"].to_numpy().view(np.uint64), t["rep"].to_numpy(), resident, radius)) if resident.any() else None
+        return _edges(link_block(t["fp"].to_numpy().view(np.uint64), t["resident"].to_numpy(), radius))
 
-    return _by_group(sent.select("slab", F.col("cell").cast("long"), "fp", "rep", "resident"), 2, each, "a long, b long")
-
-
-def block_links(distinct: DataFrame, radius: int, rows_per_block: int = 65_536, least: int = 8) -> DataFrame:
-    """As ``near_links``, for a radius too wide for cells to keep rows apart: rows
-    are dealt into blocks by hash, and every pair of blocks meets in a task."""
-    blocks = max(least, -(-distinct.count() // rows_per_block))
-    here, there = F.pmod(F.xxhash64("rep"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    sent = distinct.select("fp", "rep", here.alias("x"), there.alias("y"))
-
-    def each(t: pa.Table) -> pa.RecordBatch | None:
-        x, own = t["x"].to_numpy(), t["own"].to_numpy()
-        resident = own | (x == x.min())
-        if not own.any() and resident.all():
-            return None
-        return _edges(link_cell(t["fp"].to_numpy().view(np.uint64), t["rep"].to_numpy(), resident, radius, within=bool(own.any())))
-
-    dealt = sent.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "fp", "rep", "x", (F.col("x") == F.col("y")).alias("own"))
-    return _by_group(dealt, 2, each, "a long, b long")
+    return _by_group(residents.unionByName(visitors).select(key.alias("key"), "fp", "resident"), 1, each, "a long, b long")
 
 
 def near_duplicates(
@@ -240,22 +199,34 @@ def near_duplicates(
     ``fingerprint``: 16 lower-case hex digits.  ``component_id``: the smallest
     doc_id reachable over links of at most ``radius`` differing bits.  Ids are
     longs.  Null, empty and blank texts have fingerprint 0 and link like any
-    other.  Rows with a null id are returned and linked; they never name a
-    component, which is null where a group has no other id.  Repeated rows stay
+    other.  Rows with a null id are returned and linked, and link others; they never
+    name a component, which is null where a group has no other id.  Repeated rows stay
     repeated.  An empty table gives no rows.  Further columns are ignored."""
     rows = materialize(fingerprints(docs, id_col, text_col, width), "simhash")
-    distinct = materialize(
-        rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct"
-    )
-    labels = connected_components(near_links(distinct, radius))
-    by_fp = distinct.join(labels, distinct["rep"] == labels["node"], "left").select(
-        F.col("fp").alias("k"), F.coalesce("component", "rep").alias("component_id")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
+    labels = connected_components(near_links(distinct.select("fp"), radius))
+    linked = distinct.join(labels, distinct["fp"] == labels["node"])
+    names = linked.groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("least"))
+    named = labels.join(names, labels["component"] == names["c"]).select("node", "least")
+    by_fp = distinct.join(named, distinct["fp"] == named["node"], "left").select(
+        F.col("fp").alias("k"), F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")
     )
     return rows.join(by_fp, rows["fp"] == by_fp["k"], "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def text_key(text: bytes | None) -> bytes:
+    """Equal for texts that are equal but for case (ASCII) and white space."""
+    return xxhash.xxh3_128_digest(b" ".join((text or b"").lower().split()))
+
+
+@F.arrow_udf(BinaryType())
+def text_keys(texts: pa.Array) -> pa.Array:
+    """``text_key`` of a column of binary texts."""
+    return pa.array([text_key(x.as_py()) for x in texts], pa.binary())
+
+
 def shingle_hashes(text: bytes | None, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a whole text's word shingles (fewer words: of the
     whole sequence; no word: none)."""
@@ -269,41 +240,16 @@ def shingle_hashes(text: bytes | None, width: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64))
 
 
-def verified_links(fps: np.ndarray, reps: np.ndarray, sets: list[np.ndarray], resident: np.ndarray, within: bool, radius: int, similarity: float):
-    """A forest of the pairs within ``radius`` bits whose sets have a Jaccard
-    similarity of at least ``similarity``; pairs that are connected already are
-    not looked at again."""
-    forest, sizes = _Forest(reps), np.array([len(x) for x in sets])
-    for a, b in near_tiles(fps, resident, radius, within):
-        fits = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
-        a, b = a[fits], b[fits]
-        while len(a):
-            apart = forest.roots(a) != forest.roots(b)
-            a, b = a[apart], b[apart]
-            hit = None
-            for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-                x, y = sets[i], sets[j]
-                both = int(np.isin(x, y, assume_unique=True, kind="sort").sum()) if len(x) else 0
-                whole = len(x) + len(y) - both
-                if both >= similarity * whole:
-                    forest.link(np.array([i]), np.array([j]))
-                    hit = k
-                    break
-            if hit is None:
-                break
-            a, b = a[hit + 1 :], b[hit + 1 :]
-    root = forest.roots(np.arange(len(fps)))
-    moved = root != np.arange(len(fps))
-    return reps[moved], reps[root[moved]]
-
-
+LEADERS = 4  # of a text's rarest shingles that propose pairs
 COMMON, SAMPLE = 1 << 16, 32  # frequent shingles that are put last, and one in how many documents tells them
 BITS = 512  # of a set's parities, at least
 
 
 def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, with their ranks from 1 by falling rarity, in a
-    sample.  They only order shingles, so a sample costs no pair."""
+    sample.  They only order shingles, so a sample costs no pair; those in fewer than one
+    of COMMON sampled texts are left out before any are sorted."""
+    least = max(2.0, texts.count() / SAMPLE / COMMON)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -312,7 +258,7 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
 
     some = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SAMPLE)) == 0).mapInArrow(run, "k long, n long")
-    top = some.groupBy("k").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "k").limit(COMMON).toArrow()
+    top = some.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > least).orderBy(F.desc("n"), "k").limit(COMMON).toArrow()
     k = top["k"].to_numpy().view(np.uint64)
     order = np.argsort(k)
     return k[order], (len(k) - np.arange(len(k)))[order]
@@ -378,52 +324,32 @@ def possible_pairs(t: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarr
     return pairs[:, 0], pairs[:, 1]
 
 
-def shingle_links(texts: DataFrame, nodes: DataFrame, labels: DataFrame, width: int, similarity: float, rows_per_block: int) -> DataFrame:
-    """Edges ``(a, b)`` of all pairs of ``nodes(rep)``, with their ``texts(doc_id, text)``,
-    of a Jaccard similarity of at least ``similarity`` that ``labels(node, component)``
-    does not yet connect.
-
-    A prefix filter: in one order of all shingles, two such texts share one of the first
-    n - ceil(similarity * n) + 1 of their n.  Shingles that many texts share come last, a
-    large group of texts meets in blocks, and what the bounds leave is compared."""
-    common = common_shingles(texts, width)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_hashes(x.as_py(), width) for x in b.column(1)]
-            first = [rare_first(h, common)[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1] if len(h) else h for h in sets]
-            columns = [b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([parities(h) for h in sets], pa.binary())]
-            ends = np.cumsum([0, *map(len, first)])
-            keys = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*columns, keys.cast(pa.list_(pa.int64()))], ["node", "size", "bits", "keys"])
-
-    signed = materialize(texts.mapInArrow(sign, "node long, size long, bits binary, keys array<long>"), "signed")
-    signed = signed.join(nodes.select("rep").hint("merge"), signed["node"] == F.col("rep"), "left_semi")
-    label = labels.select(F.col("node").alias("l_node"), F.col("component").alias("l_component"))
-    known = signed.join(label.hint("merge"), signed["node"] == F.col("l_node"), "left").withColumn("component", F.coalesce("l_component", "node"))
-    w = W.partitionBy("key")
-    met = known.select("node", "component", F.posexplode("keys").alias("at", "key"))
-    met = met.withColumns({"low": F.min("component").over(w), "high": F.max("component").over(w), "n": F.count("*").over(w)}).where("low < high")
-    met = materialize(met.select("key", F.col("node").alias("m_node"), "component", F.col("at").cast("long").alias("at"), F.ceil(F.col("n") / rows_per_block).alias("blocks")), "met")
-    rows = met.join(signed.select("node", "size", "bits").hint("merge"), F.col("m_node") == F.col("node"))
-    rows = rows.withColumn("x", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = rows.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node", "component", "size", "at", "bits", "x", (F.col("x") == F.col("y")).alias("own"))
-    pairs = materialize(_by_group(dealt, 3, lambda t: _edges(possible_pairs(t, similarity)) if len(t) > 1 else None, "a long, b long").distinct(), "pairs")
+def _alike(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` of nodes whose texts have a Jaccard similarity of at least
+    ``similarity``.  Texts are hashed where they are; a pair's two sets meet in joins
+    whose skewed partitions may be split."""
     asked = pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct()
+    wanted = distinct.join(asked, distinct["node"] == F.col("asked")).select("node", "rep", "key")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = pa.array([shingle_hashes(x.as_py(), width).tobytes() for x in b.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), sets], ["node", "hashes"])
+            nodes, sets = [], []
+            for node, key, text in zip(*b.columns, strict=True):
+                if text_key(text.as_py()) == key.as_py():  # an id may have several texts
+                    nodes.append(node.as_py())
+                    sets.append(shingle_hashes(text.as_py(), width).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "hashes"])
 
-    sets = materialize(texts.join(asked.hint("merge"), texts["doc_id"] == F.col("asked"), "left_semi").mapInArrow(hashes, "node long, hashes binary"), "sets")
+    met = texts.join(wanted.hint("merge"), texts["doc_id"] == F.col("rep")).select("node", "key", "text")
+    sets = materialize(met.mapInArrow(hashes, "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes")), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             alike = []
             for p, q in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(h.as_py(), np.uint64) for h in (p, q))
-                both = int(np.isin(x, y, assume_unique=True, kind="sort").sum())
+                x, y = (np.frombuffer(h.as_buffer(), np.uint64) for h in (p, q))
+                least, most = sorted((len(x), len(y)))
+                both = int(np.isin(x, y, assume_unique=True, kind="sort").sum()) if least >= similarity * most else 0
                 alike.append(both > 0 and both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
@@ -432,68 +358,107 @@ def shingle_links(texts: DataFrame, nodes: DataFrame, labels: DataFrame, width:
     return told.select("a", "b", "a_hashes", "b_hashes").mapInArrow(compare, "a long, b long")
 
 
+def _likely_pairs(distinct: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """``(a, b)`` of nodes that are worth a comparison first, as many as there are rows, a
+    few times over, however large a group is: the forest of fingerprints within
+    ``radius`` bits, and for each of a text's rarest shingles the first text that has it."""
+    firsts = materialize(distinct.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    edges = near_links(firsts.select("fp"), radius)
+    one, two = (firsts.select(F.col("fp").alias(f"{k}_fp"), F.col("first").alias(f"{k}_first")) for k in "ab")
+    by_bits = edges.join(one, F.col("a") == F.col("a_fp")).join(two, F.col("b") == F.col("b_fp")).select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    same = distinct.select("node", "fp").join(one, F.col("fp") == F.col("a_fp")).select(F.col("a_first").alias("a"), F.col("node").alias("b"))
+    rare = distinct.select("node", "size", F.explode(F.slice("keys", 1, LEADERS)).alias("shingle"))
+    leads = rare.groupBy(F.col("shingle").alias("s")).agg(F.min("node").alias("lead"), F.min_by("size", "node").alias("lead_size"), F.count("*").alias("n")).where("n > 1")
+    led = rare.join(leads, F.col("shingle") == F.col("s")).where(F.least("size", "lead_size") >= similarity * F.greatest("size", "lead_size") - 1e-6)
+    led = led.select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    return by_bits.union(same).union(led).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _remaining_pairs(distinct: DataFrame, labels: DataFrame, similarity: float, rows_per_block: int) -> DataFrame:
+    """``(a, b)``: every pair of nodes of different components that may have
+    ``similarity``.
+
+    A prefix filter: in one order of all shingles, two such texts share one of the first
+    n - ceil(similarity * n) + 1 of their n, their ``keys``.  Shingles that many texts
+    share come last, a large group of texts meets in blocks, and sizes, places and
+    parities rule out most of the rest."""
+    label = labels.select(F.col("node").alias("l_node"), F.col("component").alias("l_component"))
+    known = distinct.join(label.hint("merge"), distinct["node"] == F.col("l_node"), "left").withColumn("component", F.coalesce("l_component", "node"))
+    met = materialize(known.select(F.col("node").alias("m_node"), "component", F.posexplode("keys").alias("at", "shingle")), "prefixes")
+    groups = met.groupBy(F.col("shingle").alias("s")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
+    mixed = met.join(groups, F.col("shingle") == F.col("s")).select("shingle", "m_node", "component", F.col("at").cast("long").alias("at"), F.ceil(F.col("n") / rows_per_block).alias("blocks"))
+    rows = mixed.join(distinct.select("node", "size", "bits").hint("merge"), F.col("m_node") == F.col("node"))
+    rows = rows.withColumn("x", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = rows.select("shingle", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node", "component", "size", "at", "bits", "x", (F.col("x") == F.col("y")).alias("own"))
+    return _by_group(dealt, 3, lambda t: _edges(possible_pairs(t, similarity)) if len(t) > 1 else None, "a long, b long").distinct()
+
+
 def similar_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = 5,
     similarity: float = 0.8,
-    radius: int = 12,
+    radius: int = 3,
     rows_per_block: int = 2_000,
 ) -> DataFrame:
-    """``(doc_id, component_id)`` of every row with an id: groups linked by a
-    Jaccard similarity of word shingles of at least ``similarity``.
-
-    SimHash finds most candidates, 64 bits over 3-word shingles within ``radius``
-    (a similarity of 0.8 at five words, of scattered words, changes some 7 of these bits,
-    with a standard deviation of 2.5); their clusters are found without naming pairs,
-    and within each the shingles decide, in blocks of ``rows_per_block`` where it is
-    large.  ``shingle_links`` adds every pair beyond the radius.  Texts equal but for case and white space collapse first.  A text
-    without words is like any other such text.  Null ids take no part."""
+    """``(doc_id, key, component_id, first_key)`` of every row with an id: groups linked
+    by a Jaccard similarity of word shingles of at least ``similarity``.
+
+    ``component_id`` is the smallest doc_id of the group and ``first_key`` the ``key`` of
+    its text (the least, where that id has several in the group); both name the group,
+    since an id may have texts in several.  SimHash and the rarest shingles propose
+    pairs, as many as rows, whose shingles then decide; the components they make leave
+    few pairs for the exact search that adds every other one.  Texts equal but for case
+    and white space collapse first.  A text without words is like any other such text.
+    Null ids take no part."""
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [x.as_py() for x in b.column(1)]
-            fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            keys = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(keys, pa.binary())], ["doc_id", "fp", "key"])
-
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = materialize(texts.mapInArrow(mark, f"doc_id {kind}, fp long, key binary"), "marked")
-    distinct = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")), "distinct")
-    clusters = materialize(connected_components(block_links(distinct.select("fp", "rep"), radius)), "clusters")
-    sizes = clusters.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("n"))
-    members = clusters.join(sizes, clusters["component"] == sizes["c"]).select("node", "component", F.ceil(F.col("n") / rows_per_block).alias("blocks"))
-    # one plan at every size: texts meet the clusters' ids by a merge join
-    first = texts.join(members.hint("merge"), texts["doc_id"] == members["node"]).join(distinct, F.col("node") == F.col("rep"))
-    # rows that repeat an id stand under one node
-    first = first.select("component", "node", "fp", "blocks", "text")
+    common = common_shingles(texts, width)
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "key", "fp", "size", "bits", "keys"]
         for b in batches:
-            sets = pa.array([shingle_hashes(x.as_py(), width).tobytes() for x in b.column(4)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], sets], ["component", "node", "fp", "blocks", "hashes"])
-
-    hashed = first.mapInArrow(hashes, "component long, node long, fp long, blocks long, hashes binary")
-    x = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = hashed.withColumn("x", x).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "component", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node", "fp", "hashes", "x", (F.col("x") == F.col("y")).alias("own")
-    )
-
-    def verify(t: pa.Table) -> pa.RecordBatch | None:
-        x, own = t["x"].to_numpy(), t["own"].to_numpy()
-        resident = own | (x == x.min())
-        if len(x) < 2 or (not own.any() and resident.all()):
-            return None
-        sets = [np.frombuffer(h, np.uint64) for h in t["hashes"].to_pylist()]
-        return _edges(verified_links(t["fp"].to_numpy().view(np.uint64), t["node"].to_numpy(), sets, resident, bool(own.any()), radius, similarity))
-
-    near = materialize(connected_components(_by_group(dealt, 3, verify, "a long, b long")), "near")
-    rest = shingle_links(texts, distinct, near, width, similarity, rows_per_block)
+            for s in range(0, b.num_rows, 512):
+                part = b.slice(s, 512)
+                words = [x.as_py() for x in part.column(1)]
+                sets = [shingle_hashes(t, width) for t in words]
+                first = [rare_first(h, common)[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1] if len(h) else h for h in sets]
+                ends = pa.array(np.cumsum([0, *map(len, first)]), pa.int64())
+                keys = pa.LargeListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)))
+                columns = [
+                    part.column(0), pa.array([text_key(t) for t in words], pa.binary()), pa.array(np.array([fingerprint(t) for t in words], np.uint64).view(np.int64)),
+                    pa.array([len(h) for h in sets], pa.int64()), pa.array([parities(h) for h in sets], pa.binary()), keys.cast(pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    marked = materialize(texts.mapInArrow(mark, f"doc_id {kind}, key binary, fp long, size long, bits binary, keys array<long>"), "marked")
+    once = marked.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("fp", "size", "bits", "keys")])
+    distinct = materialize(once.withColumn("node", F.monotonically_increasing_id()), "distinct")  # numbered as written
+    likely = materialize(_likely_pairs(distinct, similarity, radius), "likely")
+    near = materialize(connected_components(_alike(likely, distinct, texts, width, similarity)), "near")
+    pairs = materialize(_remaining_pairs(distinct, near, similarity, rows_per_block), "remaining")
+    rest = _alike(pairs, distinct, texts, width, similarity)
     labels = connected_components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
-    by_key = distinct.join(labels, distinct["rep"] == labels["node"], "left").select(
-        F.col("key").alias("k"), F.coalesce("component", "rep").alias("component_id")
-    )
-    return rows.join(by_key, rows["key"] == by_key["k"]).select("doc_id", "component_id")
+    grouped = distinct.select("key", "rep", "node").join(labels.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left")
+    grouped = grouped.select("key", "rep", F.coalesce("component", "node").alias("component"))
+    firsts = grouped.groupBy(F.col("component").alias("c")).agg(F.min(F.struct("rep", "key")).alias("first"))
+    by_key = grouped.join(firsts, F.col("component") == F.col("c")).select(F.col("key").alias("k"), F.col("first.rep").alias("component_id"), F.col("first.key").alias("first_key"))
+    return marked.select("doc_id", "key").join(by_key, F.col("key") == F.col("k")).select("doc_id", "key", "component_id", "first_key")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates, with all their columns: of each of
+    ``similar_groups`` (``how``) the row of the smallest id stays, of rows that repeat it
+    with the same text one (the least by text).  Rows of one id with texts of different
+    groups all stay, as do rows without an id.
+
+    The rows meet the kept ids in one merge join, a plan that is the same at every size."""
+    groups = similar_groups(docs, id_col, text_col, **how)
+    free = "_" * (1 + max((len(c) - len(c.rstrip("_")) for c in docs.columns), default=0))
+    kept_id, kept_key, rank = f"kept_id{free}", f"kept_key{free}", f"rank{free}"
+    kept = groups.where("doc_id = component_id and key = first_key").select(F.col("doc_id").alias(kept_id), F.col("key").alias(kept_key)).distinct()
+    met = docs.where(F.col(id_col).isNotNull()).join(kept.hint("merge"), docs[id_col] == kept[kept_id])
+    named = met.where(text_keys(F.col(text_col).cast("binary")) == F.col(kept_key))
+    one = named.withColumn(rank, F.row_number().over(W.partitionBy(id_col, kept_key).orderBy(text_col))).where(F.col(rank) == 1)
+    return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,25 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests
-    in local mode) a temporary one, which is then set for the session."""
+    """The folder named by ``spark.checkpoint.dir``.  Where that is unset, local mode
+    gets a temporary one, which is then set for the session; on a cluster, whose
+    executors would not see it, this is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="clauseforge-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the plan
     is cut there, so a lost executor costs a re-read and not a recomputation.
-    The table goes when the session ends."""
+    The table goes when the session ends, or by ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/clauseforge/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(schema).parquet(path)
+    store, where = _path(spark, path)
+    store.deleteOnExit(where)
+    out = spark.read.schema(schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialize`` that no plan reads any more."""
+    store, where = _path(df.sparkSession, df.table_path)
+    store.delete(where, True)

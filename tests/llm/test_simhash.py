@@ -76,18 +76,34 @@ def test_null_ids_and_empty_tables(spark):
     assert S.near_duplicates(none).isEmpty() and S.similar_groups(none).isEmpty()
 
 
-def test_layouts_find_the_same_links(spark):
+def test_null_ids_link_others(spark):
+    """A row without an id bridges two that have one, and takes their component."""
+    one = next(t for t in (f"a b c d e{i} f g h" for i in range(99)) if t)
+    fp = S.fingerprint(one.encode())
+    rows = [(7, fp), (None, fp ^ 0b11), (9, fp ^ 0b11111), (None, ~fp & (1 << 64) - 1)]
+    assert len({f for _, f in rows}) == 4
+    signed = [(i, f - (1 << 64) if f >> 63 else f) for i, f in rows]
+    real, S.fingerprints = S.fingerprints, lambda docs, *_: docs
+    try:
+        got = S.near_duplicates(spark.createDataFrame(signed, "doc_id long, fp long")).collect()
+    finally:
+        S.fingerprints = real
+    assert sorted((int(r.fingerprint, 16), r.component_id) for r in got) == sorted(zip((f for _, f in rows), (7, 7, 7, None), strict=True), key=lambda x: x[0])
+
+
+def test_blocks_find_the_same_links(spark):
     rnd = np.random.default_rng(3)
     base = rnd.integers(0, 2**63, 150, np.int64)
     near = np.concatenate([base[:60] ^ (1 << int(k)) for k in rnd.integers(0, 60, 4)])
     near = np.concatenate([near, base[:40] ^ np.int64(0b101010101 << 20)])
     fps = np.unique(np.concatenate([base, near]))
-    df = spark.createDataFrame([(int(f), int(i)) for i, f in enumerate(fps)], "fp long, rep long")
+    df = spark.createDataFrame([(int(f),) for f in fps], "fp long")
     bits = np.bitwise_count(fps[:, None].view(np.uint64) ^ fps[None, :].view(np.uint64))
-    for links, radius in ((S.near_links(df), 3), (S.near_links(df, rows_per_slab=60), 3), (S.block_links(df, 3, 50, 2), 3), (S.block_links(df, 12, 40, 3), 12)):
+    for rows_per_block, radius in ((8192, 3), (7, 3), (3, 3), (50, 12)):
         want = components(range(len(fps)), lambda a, b, r=radius: bits[a, b] <= r)
-        got = {r.node: r.component for r in connected_components(links).collect()}
-        assert {i: got.get(i, i) for i in range(len(fps))} == want
+        got = {r.node: r.component for r in connected_components(S.near_links(df, radius, rows_per_block)).collect()}
+        place = {int(f): i for i, f in enumerate(fps)}
+        assert {i: place[got.get(int(f), int(f))] for i, f in enumerate(fps)} == want
 
 
 def test_long_chain_is_one_component(spark):
@@ -125,3 +141,13 @@ def test_similar_groups_beyond_the_radius(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for size in (2000, 3):
         assert {r.doc_id: r.component_id for r in S.similar_groups(df, rows_per_block=size).collect()} == want
+
+
+def test_texts_that_share_an_id(spark):
+    """Groups are of texts, not of ids; clashing columns and repeated rows."""
+    one, two = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, one), (1, two), (1, one), (2, two + " end"), (None, one), (3, one.upper()), (4, None), (5, ""), (6, "x " * 200_000)]
+    df = spark.createDataFrame([(i, t, 0, "k", 1) for i, t in rows], "doc_id long, text string, kept_id int, kept_key string, rank_ int")
+    got = S.first_of_groups(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or 0, (r.text or "")[:2]) for r in got.collect()) == [(0, "a0"), (1, "a0"), (1, "b0"), (4, ""), (6, "x ")]
