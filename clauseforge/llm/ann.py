@@ -1,14 +1,18 @@
-"""Nearest neighbours by an inverted multi-index.
-
-The two halves of each vector are quantised separately, so K centroids a half
-give K*K cells.  For a query a heap yields centroid pairs by summed distance
-until their cells hold ``share`` of all rows; what they hold is reranked by the
-exact inner product in double precision.
-
-The codebooks are fitted on a bounded sample; every vector is indexed.  Index
-and queries meet in blocks (slab of the index, block of queries), whose sizes
-are fixed, whatever the size or skew of cells: copies of one vector are spread
-over all slabs."""
+"""Nearest neighbours, by inner product, by an inverted multi-index.
+
+The two halves of each vector are quantised separately, so K centroids a half give
+K*K cells; K grows with the square root of the rows, so that a cell keeps its size.
+A half's distance to a centroid is minus the inner product that a member of it can be
+expected to reach: the centroid's own and an allowance for the members' spread around
+it.  For a query a heap yields centroid pairs by summed distance until their cells
+hold ``share`` of a sample's distinct vectors; what they hold is reranked by the exact
+inner product in double precision.
+
+The codebooks are fitted on a bounded sample, and ``share`` is read from it: the part
+of the cells, in each sampled query's order, that holds RECALL of the sampled queries'
+true neighbours.  Every vector is indexed.  Cells are dealt into slabs of a fixed
+number of rows, large cells into several; a query goes to the slabs that hold cells it
+visits, and to no others."""
 
 from __future__ import annotations
 
@@ -21,12 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clauseforge.llm.labelled import sample_rows
 from clauseforge.llm.storage import materialize
 
-CENTROIDS = 32  # a half
+CELL = 48  # rows that a cell should have
+LEAST, MOST = 8, 256  # centroids a half
 SAMPLE = 16_384  # vectors that the codebooks are fitted on
-SHARE = 0.6  # of all rows, in the cells a query visits
-SLAB, BLOCK = 16_384, 512  # rows of the index and queries that meet in a task
+TRIALS, RECALL = 256, 0.96  # sampled queries, and the part of their neighbours that visits must reach
+SPREAD = 1.5  # standard deviations of a centroid's members along a query that are allowed for
+SLAB, BLOCK = 16_384, 4_096  # rows of the index and queries that meet in a task
+PAIRS = 1 << 20  # scores held at a time
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -65,15 +73,24 @@ def traverse(d1: np.ndarray, d2: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 class MultiIndex:
-    """Two codebooks over the halves of vectors."""
-
-    def __init__(self, first: np.ndarray, second: np.ndarray):
-        self.first, self.second, self.half = first, second, first.shape[1]
-
-    @classmethod
-    def fit(cls, sample: np.ndarray, k: int = CENTROIDS) -> MultiIndex:
-        half = sample.shape[1] // 2
-        return cls(kmeans(sample[:, :half], k), kmeans(sample[:, half:], k))
+    """Two codebooks over the halves of vectors, the spread of each centroid's members
+    and how many of the sample's distinct vectors each cell holds."""
+
+    def __init__(self, sample: np.ndarray, k: int):
+        sample = np.unique(sample, axis=0)
+        self.half = sample.shape[1] // 2
+        self.first, self.second = kmeans(sample[:, : self.half], k), kmeans(sample[:, self.half :], k)
+        self.spread = [self._spread(sample[:, : self.half], self.first), self._spread(sample[:, self.half :], self.second)]
+        self.weight = np.bincount(self.cell(sample), minlength=self.cells) if len(sample) else np.zeros(self.cells, np.int64)
+
+    @staticmethod
+    def _spread(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The standard deviation of a centroid's members along a direction."""
+        if not x.size:
+            return np.zeros(len(c))
+        near = nearest(x, c)
+        off = ((x - c[near]) ** 2).mean(1)
+        return np.sqrt(np.bincount(near, off, len(c)) / np.maximum(np.bincount(near, minlength=len(c)), 1))
 
     @property
     def cells(self) -> int:
@@ -82,34 +99,110 @@ class MultiIndex:
     def cell(self, x: np.ndarray) -> np.ndarray:
         return nearest(x[:, : self.half], self.first) * len(self.second) + nearest(x[:, self.half :], self.second)
 
-    def visits(self, q: np.ndarray, sizes: np.ndarray, wanted: float) -> np.ndarray:
-        """Cells in the order of the heap until they hold ``wanted`` rows."""
-        d1 = ((self.first - q[: self.half]) ** 2).sum(1)
-        d2 = ((self.second - q[self.half :]) ** 2).sum(1)
-        out, held, width = [], 0, len(self.second)
+    def distances(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a query's halves to the centroids; a cell's is the sum of its two."""
+        halves = ((q[: self.half], self.first, self.spread[0]), (q[self.half :], self.second, self.spread[1]))
+        one, two = (-(c @ x + SPREAD * np.sqrt((x**2).sum()) * s) for x, c, s in halves)
+        return one, two
+
+    def visits(self, q: np.ndarray, sizes: np.ndarray, share: float, least: int) -> np.ndarray:
+        """Cells with rows, in the order of the heap, until the cells before hold more
+        than ``share`` of the sample and, by ``sizes``, ``least`` rows."""
+        d1, d2 = self.distances(q)
+        out, seen, held, width = [], 0, 0, len(self.second)
+        enough = share * self.weight.sum()
         for i, j in traverse(d1, d2):
-            if held >= wanted:
+            if seen > enough and held >= least:
                 break
-            if n := sizes[i * width + j]:
-                out.append(i * width + j)
-                held += n
+            at = i * width + j
+            seen += self.weight[at]
+            if sizes[at]:
+                out.append(at)
+                held += sizes[at]
         return np.array(out, np.int64)
 
-
-def rerank(q: np.ndarray, own: int, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k rows of x of the largest inner product with q, ties
-    to the smaller id.  Candidates near the k-th best are scored again one row at
-    a time, so equal vectors have equal scores."""
-    rough = x @ q
-    rough[ids == own] = -np.inf
-    if len(ids) > k:
-        kth = np.partition(rough, -k)[-k]
-        at = np.flatnonzero((rough >= kth - 1e-9 * max(1.0, abs(kth))) & (rough > -np.inf))
-    else:
-        at = np.flatnonzero(rough > -np.inf)
-    exact = (x[at] * q).sum(1)
-    order = np.lexsort((ids[at], -exact))[:k]
-    return ids[at][order], exact[order]
+    def share_for(self, sample: np.ndarray, k: int) -> float:
+        """The share at which sampled queries reach RECALL of their k nearest in the
+        sample; what is found there is nearer still among all rows."""
+        sample = np.unique(sample, axis=0)
+        if len(sample) < 2:
+            return 1.0
+        cells, total = self.cell(sample), max(int(self.weight.sum()), 1)
+        found = []
+        for i in np.random.default_rng(11).permutation(len(sample))[:TRIALS].tolist():
+            scores = sample @ sample[i]
+            scores[i] = -np.inf
+            best = np.argsort(-scores, kind="stable")[: min(k, len(sample) - 1)]
+            d1, d2 = self.distances(sample[i])
+            order = np.argsort((d1[:, None] + d2[None]).ravel(), kind="stable")
+            before = np.empty(self.cells)
+            before[order] = np.cumsum(self.weight[order]) - self.weight[order]
+            found.append(before[cells[best]] / total)
+        return float(np.quantile(np.concatenate(found), RECALL, method="higher"))
+
+
+def first_copies(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k + 1 smallest ids of each distinct vector: a query's k nearest, ties
+    to the smaller id, need no more of one, itself left out."""
+    same = np.unique(np.ascontiguousarray(x).view(f"V{x.shape[1] * x.itemsize}").ravel(), return_inverse=True)[1]
+    order = np.lexsort((ids, same))
+    starts = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]])
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    return np.sort(order[rank <= k])
+
+
+def rerank(q: np.ndarray, own: np.ndarray, on: np.ndarray, x: np.ndarray, ids: np.ndarray, cell: np.ndarray, k: int):
+    """(query, id, score) of each query's k rows of the largest inner product in the
+    cells it visits (``on[query, cell]``), ties to the smaller id.  Rows are sorted by
+    cell and come cell by cell; candidates near the k-th best are scored again one row
+    at a time, so equal vectors have equal scores."""
+    best = np.full((len(q), k), -np.inf)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        asked = np.flatnonzero(on[:, cell[s]]) if e > s else np.zeros(0, np.int64)
+        step = max(1, PAIRS // max(e - s, 1))
+        for at in range(0, len(asked), step):
+            a = asked[at : at + step]
+            scores = q[a] @ x[s:e].T
+            scores[own[a][:, None] == ids[None, s:e]] = -np.inf
+            low = best[a, 0]
+            i, j = np.nonzero((scores >= (low - 1e-9 * np.maximum(1.0, np.abs(low)))[:, None]) & (scores > -np.inf))
+            found.append((a[i], s + j, scores[i, j]))
+            hit = np.unique(i)
+            best[a[hit]] = np.partition(np.concatenate([best[a[hit]], scores[hit]], 1), -k, 1)[:, -k:]
+            best[a[hit], 0] = best[a[hit]].min(1)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    a, j, rough = (np.concatenate(c) for c in zip(*found, strict=True))
+    low = best[a, 0]
+    near = rough >= low - 1e-9 * np.maximum(1.0, np.abs(low))
+    a, j = a[near], j[near]
+    exact = np.concatenate([(x[j[t : t + PAIRS // 64]] * q[a[t : t + PAIRS // 64]]).sum(1) for t in range(0, max(len(a), 1), PAIRS // 64)])
+    order = np.lexsort((ids[j], -exact, a))
+    a, j, exact = a[order], j[order], exact[order]
+    starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
+    rank = np.arange(len(a)) - np.repeat(starts, np.diff(np.r_[starts, len(a)]))
+    return a[rank < k], ids[j[rank < k]], exact[rank < k]
+
+
+def deal(sizes: np.ndarray, slab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each cell its first slab and how many it has, and for each slab its first cell:
+    neighbouring cells share a slab of about ``slab`` rows, a larger cell has several."""
+    first, parts, starts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), [0]
+    held = 0
+    for at, n in enumerate(sizes.tolist()):
+        if (held and held + n > slab) or (n > slab and starts[-1] != at):
+            starts.append(at)
+            held = 0
+        first[at] = len(starts) - 1
+        held += n
+        if n > slab:
+            parts[at] = -(-n // slab)
+            starts += [at] * (int(parts[at]) - 1)
+            starts.append(at + 1)
+            held = 0
+    return first, parts, np.array(starts, np.int64)
 
 
 def _usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int, np.dtype]:
@@ -148,8 +241,8 @@ def search(
     k: int = 20,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    centroids: int = CENTROIDS,
-    share: float = SHARE,
+    centroids: int | None = None,
+    share: float | None = None,
     sample: int = SAMPLE,
     slab: int = SLAB,
     block: int = BLOCK,
@@ -162,14 +255,20 @@ def search(
     hold a null or non-finite number take no part, nor do null ids; of rows that
     repeat an id the one of the least bytes counts.  Fewer than k candidates are all
     returned; no candidates or an empty table give no rows.  Where the visited
-    cells hold fewer than k rows, more are visited.  Further columns are ignored."""
+    cells hold fewer than k rows, more are visited.  ``share``: how much of the sample
+    a query's cells hold, 1.0 for an exact search; by default it is read from the
+    sample.  ``centroids`` a half follow from the rows.  Further columns are ignored."""
     spark = vectors.sparkSession
     clean, dim, dtype = _usable(vectors, id_col, vec_col)
     rows = clean.groupBy("vec_id").agg(F.min("vec").alias("vec"))
     if dim == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    picked = clean.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id", "vec").limit(sample).select("vec").toArrow()
-    index = MultiIndex.fit(_matrix(picked["vec"], dtype, dim) if len(picked) else np.zeros((0, dim)), centroids)
+    rows = materialize(rows, "vectors")
+    total = rows.count()
+    picked = sample_rows(rows, "vec_id", sample).select("vec").toArrow()
+    known = _matrix(picked["vec"], dtype, dim) if len(picked) else np.zeros((0, dim))
+    index = MultiIndex(known, centroids or int(np.clip(np.sqrt(total / CELL), LEAST, MOST)))
+    part = index.share_for(known, k) if share is None else share
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,51 +277,49 @@ def search(
 
     placed = materialize(rows.mapInArrow(place, "vec_id long, vec binary, cell int"), "multi-index")
     sizes = np.zeros(index.cells, np.int64)
-    for cell, n in placed.groupBy("cell").count().collect():  # K*K rows at most
+    for cell, n in placed.groupBy("cell").count().collect():  # MOST * MOST rows at most
         sizes[cell] = n
-    total = int(sizes.sum())
-    wanted = max(share * total, min(k + 1, total))
+    first, parts, starts = deal(sizes, slab)
+    ends = np.r_[starts[1:], index.cells]
+    ends = np.maximum(ends, starts + 1)  # the slabs of one large cell start at it, and hold it alone
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["vec_id", "vec", "slab", "visits"]
         for b in batches:
-            out = []
-            for q in _matrix(b.column(1), dtype, dim):
+            for one, q in enumerate(_matrix(b.column(1), dtype, dim)):
                 on = np.zeros(index.cells, bool)
-                on[index.visits(q, sizes, wanted)] = True
-                out.append(np.packbits(on).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["vec_id", "vec", "visits"])
-
-    queries = materialize(placed.where(is_query).select("vec_id", "vec").mapInArrow(visit, "vec_id long, vec binary, visits binary"), "visits")
-    slabs, blocks = max(1, -(-total // slab)), max(1, -(-queries.count() // block))
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    part = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(n)).cast("int")
-    met = (
-        placed.select("vec_id", "vec", "cell", F.lit(None).cast("binary").alias("visits"), part(slabs).alias("slab"), span(blocks).alias("block"))
-        .unionByName(
-            queries.select("vec_id", "vec", F.lit(-1).alias("cell"), "visits", span(slabs).alias("slab"), part(blocks).alias("block"))
-        )
+                cells = index.visits(q, sizes, part, min(k + 1, total))
+                on[cells] = True
+                slabs = np.unique(np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in cells.tolist()])).tolist() if len(cells) else []
+                bits = [np.packbits(on[starts[s] : ends[s]]).tobytes() for s in slabs]
+                at = pa.array([one] * len(slabs), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(slabs, pa.int64()), pa.array(bits, pa.binary())], names)
+
+    routed = materialize(placed.where(is_query).select("vec_id", "vec").mapInArrow(route, "vec_id long, vec binary, slab long, visits binary"), "routes")
+    asked = routed.groupBy(F.col("slab").alias("s")).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = spark.createDataFrame([(c, int(f), int(n)) for c, (f, n) in enumerate(zip(first, parts, strict=True))], "c int, first long, parts long")
+    spread = placed.join(F.broadcast(dealt), F.col("cell") == F.col("c")).withColumn("slab", F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(11)), F.col("parts")))
+    here = spread.join(asked, F.col("slab") == F.col("s")).select(
+        "vec_id", "vec", "cell", F.lit(None).cast("binary").alias("visits"), "slab", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    )
+    there = routed.join(asked, F.col("slab") == F.col("s")).select(
+        "vec_id", "vec", F.lit(-1).alias("cell"), "visits", "slab", F.pmod(F.xxhash64("vec_id", F.lit(11)), F.col("blocks")).alias("block")
     )
 
     def meet(table: pa.Table) -> pa.Table:
-        cell = table["cell"].to_numpy()
-        ids, vec = table["vec_id"].to_numpy(), table["vec"].combine_chunks()
-        here, asked = np.flatnonzero(cell >= 0), np.flatnonzero(cell < 0)
+        cell, ids, vec = table["cell"].to_numpy(), table["vec_id"].to_numpy(), table["vec"].combine_chunks()
+        base, queries = int(starts[table["slab"][0].as_py()]), np.flatnonzero(cell < 0)
+        here = np.flatnonzero(cell >= 0)
         here = here[np.lexsort((ids[here], cell[here]))]
-        x, held, own = _matrix(vec.take(pa.array(here)), dtype, dim), cell[here], ids[here]
-        starts, ends = np.searchsorted(held, np.arange(index.cells), "left"), np.searchsorted(held, np.arange(index.cells), "right")
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        visits = table["visits"].combine_chunks()
-        for at, q in zip(asked.tolist(), _matrix(vec.take(pa.array(asked)), dtype, dim), strict=True):
-            on = np.flatnonzero(np.unpackbits(np.frombuffer(visits[at].as_py(), np.uint8), count=index.cells))
-            on = on[ends[on] > starts[on]]
-            if not len(on):
-                continue
-            rows_ = np.concatenate([np.arange(s, e) for s, e in zip(starts[on], ends[on], strict=True)])
-            found, scores = rerank(q, ids[at], x[rows_], own[rows_], k)
-            out.append((np.full(len(found), ids[at]), found, scores))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-        return pa.table([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
-
-    local = met.groupBy("slab", "block").applyInArrow(meet, "query_id long, vec_id long, score double")
+        x = _matrix(vec.take(pa.array(here)), dtype, dim)
+        kept = first_copies(x, ids[here], k) if len(here) else np.zeros(0, np.int64)
+        x, here = x[kept], here[kept]
+        visits = table["visits"].combine_chunks().take(pa.array(queries)).to_pylist()
+        on = np.unpackbits(np.frombuffer(b"".join(visits), np.uint8).reshape(len(queries), -1), axis=1).astype(bool) if len(queries) else np.zeros((0, 1), bool)
+        q = _matrix(vec.take(pa.array(queries)), dtype, dim)
+        a, found, scores = rerank(q, ids[queries], on, x, ids[here], cell[here] - base, k)
+        return pa.table([pa.array(ids[queries][a]), pa.array(found), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+    local = here.unionByName(there).groupBy("slab", "block").applyInArrow(meet, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,8 +1,12 @@
+import time
+from math import e, log
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from clauseforge.llm import ann
+from clauseforge.llm import html_extract
 from clauseforge.llm.html_extract import extract, main_text
 
 PAGE = """<html><head><title>T</title><script>var a="<p>x</p>";</script><style>p{}</style></head><body><header>Site</header>
@@ -40,6 +44,67 @@ def test_extract(spark):
     assert sorted(r.n_chars for r in got) == [0, len(main_text(PAGE)), len(main_text(PAGE))] and extract(df.where("false")).isEmpty()
 
 
+def slow_measure(node):
+    """Characters, tags, link characters and link tags of a node, by recursion."""
+    chars = tags = link_chars = link_tags = 0
+    for x in node.parts:
+        if isinstance(x, html_extract.Node):
+            c, t, lc, lt = slow_measure(x)
+            if not x.drop:
+                chars, tags = chars + c, tags + 1 + t
+            link_chars += c if x.tag == "a" else lc
+            link_tags += (x.tag == "a") + lt
+        else:
+            chars += len(" ".join(html_extract.unescape(x).split()))
+    return chars, tags, link_chars, link_tags
+
+
+def test_densities_equal_brute_force(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").limit(200).collect()]
+    for html in [PAGE, *filter(None, pages)]:
+        root = html_extract.parse(html)
+        order = html_extract._measure(root)
+        c, _, lc, _ = slow_measure(root)
+        share = lc / max(c + lc, 1)
+        want = {}
+        for n in order:
+            c, t, lc, lt = slow_measure(n)
+            lc = min(lc, c)
+            if c and not n.drop:
+                base = log(log(c / max(c - lc, 1) * lc + share * c + e)) if log(c / max(c - lc, 1) * lc + share * c + e) > 0 else 0
+                want[id(n)] = c / max(t, 1) * log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)) / max(base, 0.1)
+        assert all(n.density == pytest.approx(want.get(id(n), 0.0)) for n in order)
+        assert all(n.total == pytest.approx(sum(want.get(id(x), 0.0) for x in n.parts if not isinstance(x, str))) for n in order)
+
+
+def test_density_decides():
+    """What stands beside the densest subtree, and a container in doubt, stay if dense."""
+    long, short = "One sentence of the text that goes on for a good while. " * 4, "A word."
+    main = f"<div id=m>{'<p>' + long + '</p>'}{'<p>' + long + '</p>'}</div>"
+    for beside, kept in ((long * 2, True), (short, False)):
+        for box in (f"<div>{beside}</div>", f"<div class=newsletter>{beside}</div>"):
+            assert (beside.split()[0] in main_text(f"<body>{main}{box}</body>").split("\n")[-1].split()[0:1] and len(main_text(f"<body>{main}{box}</body>").split("\n")) == 3) == kept
+        inside = f"<body><article><p>{long}</p><div class=search>{beside}</div><p>{long}</p></article></body>"
+        assert (len(main_text(inside).split("\n")) == 3) == kept
+
+
+def test_article_keeps_its_own():
+    html = (
+        "<body><nav>menu</nav><article><h1>T</h1><p>Intro text of the article.</p><p id=notice>A notice to readers.</p><div class=search><p>We search for things in text.</p></div>"
+        "<div class=related-work><p>Others did this as well.</p></div><div class=ad>Buy this now, it is the best there is</div><p>Of.</p><section class=comments><p>Nice article, says a reader.</p></section></article>"
+        "<div class=ad>Buy that</div><footer>f</footer></body>"
+    )
+    assert main_text(html) == "T\nIntro text of the article.\nA notice to readers.\nWe search for things in text.\nOthers did this as well.\nOf."
+
+
+@pytest.mark.parametrize("part", ["<font>{}<p>x</b>", "<font><p></p>", "<li><font>", "<td><i></b>", "<a \"<a ", "<a <a ", "<div>", "<p><b>"])
+def test_time_follows_length(part):
+    n = 5_000_000 // 16
+    began = time.time()
+    main_text((part * (n // len(part) + 1))[:n])
+    assert time.time() - began < 5
+
+
 def test_traversal_is_in_order():
     rnd = np.random.default_rng(2)
     a, b = rnd.random(7), rnd.random(5)
@@ -83,6 +148,45 @@ def test_recall_and_scores(spark):
     assert exact == want
 
 
+def directions(rnd, n):
+    x = rnd.normal(size=(n, 16))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered", "varied", "lognormal", "copies"])
+def test_recall_on_other_vectors(spark, kind):
+    """Norms that vary, clusters and thousands of copies; slabs and blocks of few rows."""
+    rnd, n = np.random.default_rng(4), 4000
+    x = directions(rnd, n)
+    if kind == "clustered":
+        x = directions(rnd, 80)[rnd.integers(0, 80, n)] + 0.05 * rnd.normal(size=(n, 16))
+    elif kind == "varied":
+        x *= rnd.uniform(0.5, 1.5, (n, 1))
+    elif kind == "lognormal":
+        x *= np.exp(rnd.normal(size=(n, 1)))
+    elif kind == "copies":
+        x[n // 3 :] = x[0]
+    x, ids = x.astype("f4").astype(float), np.arange(n)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    want = brute(ids, x, ids % 20 == 0, 20)
+    for share in (None, 1.0):
+        got = {}
+        for r in ann.search(df, F.col("vec_id") % 20 == 0, share=share, slab=500, block=60).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        hits = sum(len({v for _, v in got[q]} & set(want[q])) for q in want)
+        assert hits >= 0.9 * 20 * len(want)
+        if share == 1.0:
+            assert {q: [v for _, v in sorted(f)] for q, f in got.items()} == want
+
+
+def test_slabs_hold_every_cell():
+    sizes = np.array([3, 0, 50, 4, 4, 0, 900, 2, 0, 120])
+    first, parts, starts = ann.deal(sizes, 10)
+    ends = np.maximum(np.r_[starts[1:], len(sizes)], starts + 1)
+    for c, n in enumerate(sizes.tolist()):
+        assert all(starts[s] <= c < ends[s] for s in range(first[c], first[c] + parts[c])) and parts[c] == max(1, -(-n // 10))
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0]), (9, [None, 1.0]), (None, [1.0, 1.0]), (10, []), (3, [0.0, 1.0])]
