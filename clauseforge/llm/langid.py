@@ -18,16 +18,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clauseforge.llm.labelled import sample_rows
+from clauseforge.llm.storage import materialize
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 12
 ROWS_A_LANGUAGE, ROWS = 600, 4_000  # training rows, at most
 BLOCK = 1 << 20  # bytes hashed at a time
 MARGIN = 0.1
-_LETTER = re.compile(r"[^\W\d_]")
+_PERHAPS_LETTER = re.compile(r"[^\W\d_]")  # also numerals that \d leaves out
 _NOT_WORDS = bytes.maketrans(bytes(range(9, 65)), b" " * 56)  # ASCII white space, digits and punctuation
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter by Unicode (category L)."""
+    return any(m[0].isalpha() for m in _PERHAPS_LETTER.finditer(text or ""))
+
+
 def _buckets(text: bytes) -> Iterator[np.ndarray]:
     """Buckets of the text's byte 2- and 4-grams, in blocks."""
     for at in range(0, max(len(text) - 3, 0), BLOCK):
@@ -41,7 +47,7 @@ def _buckets(text: bytes) -> Iterator[np.ndarray]:
 def profile(text: str | None) -> np.ndarray | None:
     """Square roots of the shares of a whole text's n-grams; None without a
     letter.  Letters are lower-cased; digits and punctuation count as spaces."""
-    if not text or not _LETTER.search(text):
+    if not text or not has_letter(text):
         return None
     raw = b" " + text.lower().encode("utf-8", "replace").translate(_NOT_WORDS) + b"  "
     counts = np.zeros(BUCKETS, np.int64)
@@ -126,20 +132,21 @@ def train(
     """Fit on labelled rows of ``docs``: of each language at most
     ``per_language`` and ``rows`` in all, those of the least hash of the id, and
     one of each language whatever the bound.
-    Rows with a null language, id or text, or without a letter, are passed over.
-    Whole texts are profiled on the executors, where they are; only the sample's
-    profiles come to the driver."""
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, F.lit(29)).alias("h"))
-    known = known.where("doc_id is not null and lang is not null")
+    Rows with a null language, id or text, or without a letter, are passed over before
+    any is picked.  Whole texts are profiled on the executors, where they are; only the
+    sample's profiles come to the driver."""
+    known = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, F.lit(29)).alias("h"), F.col(text_col).alias("text"))
+    known = known.where("doc_id is not null and lang is not null").where(F.col("text").rlike(r"\p{L}")).drop("text")
+    known = materialize(known, "languages")
     # the hash bound that leaves enough of each language, from counts alone, so that no
     # language's rows meet in one task
     sizes = known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
     bound = F.ceil(F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n")) * 1_000_003)
-    near = known.join(F.broadcast(sizes.select("of", bound.alias("bound"))), F.col("lang") == F.col("of")).where(F.pmod("h", F.lit(1_000_003)) < F.col("bound"))
+    near = known.join(sizes.select("of", bound.alias("bound")), F.col("lang") == F.col("of")).where(F.pmod("h", F.lit(1_000_003)) < F.col("bound"))
     first = W.partitionBy("lang").orderBy("h", "doc_id")
     ranked = near.select("doc_id", "lang", F.row_number().over(first).alias("r")).where(F.col("r") <= per_language)
-    one = ranked.where("r = 1").select(F.col("doc_id").alias("t_id"))
-    picked = sample_rows(ranked.select(F.col("doc_id").alias("t_id")).distinct(), "t_id", rows).union(one).distinct()
+    ranked = materialize(ranked.select(F.col("doc_id").alias("t_id"), "r"), "picked")
+    picked = sample_rows(ranked.select("t_id").distinct(), "t_id", rows).union(ranked.where("r = 1").select("t_id")).distinct()
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,19 +207,21 @@ def languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     )
 
 
-def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text is in some language the model knows (not
-    ``und``), with all their columns.  A model without languages keeps every text with
-    a letter."""
-    column = docs.columns.index(text_col)
+    ``und``), with all their columns; ``lang_col`` is the language found, whatever stood
+    there.  A model without languages keeps every text with a letter, as it is."""
+    column, told = docs.columns.index(text_col), docs.columns.index(lang_col)
     of = predict_batches(model, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if model.languages:
-                keep = [x != UNDETERMINED for x in of(b)[0]]
+                found = of(b)[0]
+                b = b.set_column(told, lang_col, pa.array(found, b.column(told).type))
+                keep = [x != UNDETERMINED for x in found]
             else:
-                keep = [bool(_LETTER.search(x.as_py() or "")) for x in b.column(column)]
+                keep = [has_letter(x.as_py()) for x in b.column(column)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
