@@ -110,7 +110,7 @@ def paths(messages: DataFrame) -> DataFrame:
     return found
 
 
-def format_trees(messages: DataFrame, keep: int | None = 1) -> DataFrame:
+def format_trees(messages: DataFrame, keep: int | None = 1, unique: bool = False) -> DataFrame:
     """``messages(conv_id, msg_id, parent_id, role, text, score)`` ->
     ``(conv_id, leaf_id, branch_rank, branch_score, n_turns, formatted,
     loss_spans)``: the ``keep`` best branches of each conversation (None: all).
@@ -118,8 +118,12 @@ def format_trees(messages: DataFrame, keep: int | None = 1) -> DataFrame:
     A branch's score is the mean of its messages' scores (null: 0); ties go to
     the longer branch, then to the smaller leaf.  Null roles and texts count as
     empty; a null conv_id is a conversation of its own; null msg_ids take no part.
-    msg_id must be unique in a conversation.  An empty table gives no rows;
-    further columns are ignored."""
+    Of rows that repeat a conversation's msg_id the least (by parent, role, text, score)
+    counts; ``unique`` says that none does, which saves a shuffle.  An empty table gives
+    no rows; further columns are ignored."""
+    if not unique:
+        row = F.struct("parent_id", "role", "text", "score")
+        messages = materialize(messages.where("msg_id is not null").groupBy("conv_id", "msg_id").agg(F.min(row).alias("row")).select("conv_id", "msg_id", "row.*"), "messages")
     found = paths(messages)
     every = _keyed(messages).select(
         F.col("c").alias("mc"), F.col("msg_id").alias("mn"), "conv_id",

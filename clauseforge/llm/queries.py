@@ -38,7 +38,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
     messages = materialize(chat.linear_messages(turns.unionByName(planted)), "messages")
-    return chat.read_back(chat.format_trees(messages))
+    return chat.read_back(chat.format_trees(messages, unique=True))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,23 +149,19 @@ def unpack(archive: bytes) -> Iterator[bytes]:
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """``(page_id, url, payload binary, refers_to)``: of equal payloads of at least
     ``min_bytes`` the smallest page_id is kept, for every other row refers_to
-    names it.  Only ids and digests are grouped, with combining before the
-    shuffle; payloads move once, to meet the digest's first page, and a join's
-    skewed partitions may be split."""
+    names it.  Copies are found among ids and digests alone, combined before the
+    shuffle; payloads move once, by their own ids, so copies do not meet in a task."""
     rows = pages.select(
         F.col(id_col).alias("page_id"),
         F.col(url_col).alias("url"),
         F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumn("key", F.sha2("payload", 256))
-    first = (
-        rows.where(F.octet_length("payload") >= min_bytes)
-        .groupBy(F.col("key").alias("k"))
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-    )
-    return rows.join(first, rows["key"] == first["k"], "left").select(
-        "page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")
-    )
+    ids = rows.where(F.octet_length("payload") >= min_bytes).select(F.col("page_id").alias("copy"), F.col("key").alias("copy_key"))
+    first = ids.groupBy(F.col("copy_key").alias("k")).agg(F.min("copy").alias("first"), F.count("*").alias("n")).where("n > 1")
+    refers = ids.join(first, F.col("copy_key") == F.col("k")).where(~F.col("copy").eqNullSafe(F.col("first")))
+    refers = refers.select("copy", "copy_key", F.col("first").alias("refers_to")).distinct()
+    same = F.col("page_id").eqNullSafe(F.col("copy")) & (F.col("key") == F.col("copy_key"))
+    return rows.join(refers.hint("merge"), same, "left").select("page_id", "url", "payload", "refers_to")
 
 
 def write_archives(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL) -> DataFrame:
