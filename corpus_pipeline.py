@@ -3,20 +3,18 @@ tokens.  Each stage works on all that the one before has kept."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clauseforge.llm import langid, mixing, quality_gbdt, sentencepiece_codec, simhash
 from clauseforge.llm.queries import LANGUAGE_TARGETS
-from clauseforge.llm.storage import shared_dir
+from clauseforge.llm.storage import discard, materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: null texts and those without a letter.
-    The classifier learns from the rows with a language."""
+    """Drops documents in no language: null texts and those without a letter.  The
+    others' ``lang`` becomes the language found, which the mixing goes by.  The classifier
+    learns from the rows with a language."""
     return langid.keep_known(docs, langid.train(docs))
 
 
@@ -28,28 +26,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest id, of each group linked by a
-    similarity of 0.8 of five-word shingles.  Of rows that repeat an id one stays
-    (the least by text); rows without an id all stay."""
-    kept = simhash.similar_groups(docs).select(F.col("component_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept.hint("merge"), docs["doc_id"] == kept["kept_id"], "left_semi")
-    once = W.partitionBy("doc_id").orderBy("text")
-    rank = "row_of_id" + "_" * sum(c.startswith("row_of_id") for c in docs.columns)
-    one = named.withColumn(rank, F.row_number().over(once)).where(F.col(rank) == 1).select(*docs.columns)
-    return one.unionByName(docs.where("doc_id is null"))
+    similarity of 0.8 of five-word shingles.  Of rows that repeat an id and a text one
+    stays; texts that only share an id all stay, as do rows without an id."""
+    return simhash.first_of_groups(docs)
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents by their rates towards the languages' target weights.  No
-    rate is below 1, so every document stays, and the language with the most tokens for
-    its target keeps its own; rows without an id stay once."""
+    """Repeats documents by their rates towards the target weights of the languages that
+    the first stage found.  No rate is below 1, so every document stays, and the language
+    with the most tokens for its target keeps its own; rows without an id stay once."""
     labelled = docs.select("doc_id", F.col("lang").alias("domain"))
-    mixed = mixing.mix(docs, labelled, LANGUAGE_TARGETS, raise_only=True).select(F.col("doc_id").alias("mixed_id"), F.col("copies").alias("mixed_copies"))
-    joined = docs.join(mixed.hint("merge"), docs["doc_id"] == mixed["mixed_id"], "left")
-    times = F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce(mixed["mixed_copies"], F.lit(1)), F.lit(1))))
-    return joined.select(*[docs[c] for c in docs.columns], times.alias("mixed_copy")).drop("mixed_copy")
+    mixed = mixing.mix(docs, labelled, LANGUAGE_TARGETS, raise_only=True)
+    return mixing.repeat(docs, mixed)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document and whether they decode to its text, by its id."""
     return sentencepiece_codec.round_trip(docs)
 
 
@@ -67,10 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/clauseforge/pipeline-{uuid.uuid4().hex}"
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        made = stage(spark, docs, sf_dir)
-        made.write.parquet(f"{folder}/{k}")
-        docs = spark.read.schema(made.schema).parquet(f"{folder}/{k}")
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
