@@ -240,6 +240,7 @@ def shingle_hashes(text: bytes | None, width: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64))
 
 
+CERTAINTY = 64  # in bits: as many as a shingle's hash has
 LEADERS = 4  # of a text's rarest shingles that propose pairs
 COMMON, SAMPLE = 1 << 16, 32  # frequent shingles that are put last, and one in how many documents tells them
 BITS = 512  # of a set's parities, at least
@@ -264,12 +265,32 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
     return k[order], (len(k) - np.arange(len(k)))[order]
 
 
-def rare_first(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The hashes in one order for all texts: common ones last, the most frequent at the end."""
+def rare_first(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """The hashes in one order for all texts, common ones last, the most frequent at the
+    end; and how many are not common."""
     if not len(common[0]):
-        return hashes
+        return hashes, len(hashes)
     at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
-    return hashes[np.lexsort((hashes, np.where(common[0][at] == hashes, common[1][at], 0)))]
+    rank = np.where(common[0][at] == hashes, common[1][at], 0)
+    return hashes[np.lexsort((hashes, rank))], int((rank == 0).sum())
+
+
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first hashes of a set, in the order of ``rare_first``, of which two sets of
+    ``similarity`` share one.
+
+    The first n - ceil(similarity * n) + 1 always do.  Fewer do in all likelihood: of two
+    such sets' union at most (1 / similarity - 1) * n elements are not in both, and the r
+    that are not common stand in the order of their hashes, so one of the first k is in
+    neither or one only with a chance of (1 / similarity - 1) * n / r each.  k makes that
+    a chance of 2^-CERTAINTY for all of them."""
+    if not len(hashes):
+        return hashes
+    n = len(hashes)
+    ordered, rare = rare_first(hashes, common)
+    most = n - int(np.ceil(similarity * n - 1e-6)) + 1
+    odds = rare / ((1 / similarity - 1) * n) if similarity < 1 else np.inf
+    return ordered[: min(most, int(np.ceil(CERTAINTY / np.log2(odds)))) if odds > 1 else most]
 
 
 def parities(hashes: np.ndarray) -> bytes:
@@ -378,13 +399,12 @@ def _remaining_pairs(distinct: DataFrame, labels: DataFrame, similarity: float,
     """``(a, b)``: every pair of nodes of different components that may have
     ``similarity``.
 
-    A prefix filter: in one order of all shingles, two such texts share one of the first
-    n - ceil(similarity * n) + 1 of their n, their ``keys``.  Shingles that many texts
-    share come last, a large group of texts meets in blocks, and sizes, places and
+    A prefix filter: in one order of all shingles, two such texts share one of their
+    first, their ``keys`` (see ``prefix``).  Shingles that many texts share come last, a large group of texts meets in blocks, and sizes, places and
     parities rule out most of the rest."""
     label = labels.select(F.col("node").alias("l_node"), F.col("component").alias("l_component"))
     known = distinct.join(label.hint("merge"), distinct["node"] == F.col("l_node"), "left").withColumn("component", F.coalesce("l_component", "node"))
-    met = materialize(known.select(F.col("node").alias("m_node"), "component", F.posexplode("keys").alias("at", "shingle")), "prefixes")
+    met = known.select(F.col("node").alias("m_node"), "component", F.posexplode("keys").alias("at", "shingle"))
     groups = met.groupBy(F.col("shingle").alias("s")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
     mixed = met.join(groups, F.col("shingle") == F.col("s")).select("shingle", "m_node", "component", F.col("at").cast("long").alias("at"), F.ceil(F.col("n") / rows_per_block).alias("blocks"))
     rows = mixed.join(distinct.select("node", "size", "bits").hint("merge"), F.col("m_node") == F.col("node"))
@@ -423,7 +443,7 @@ def similar_groups(
                 part = b.slice(s, 512)
                 words = [x.as_py() for x in part.column(1)]
                 sets = [shingle_hashes(t, width) for t in words]
-                first = [rare_first(h, common)[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1] if len(h) else h for h in sets]
+                first = [prefix(h, common, similarity) for h in sets]
                 ends = pa.array(np.cumsum([0, *map(len, first)]), pa.int64())
                 keys = pa.LargeListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)))
                 columns = [
