@@ -241,7 +241,7 @@ def shingle_hashes(text: bytes | None, width: int = 5) -> np.ndarray:
 
 
 CERTAINTY = 64  # in bits: as many as a shingle's hash has
-LEADERS = 4  # of a text's rarest shingles that propose pairs
+SOME = 8  # rarest and commonest keys that proposals go by
 COMMON, SAMPLE = 1 << 16, 32  # frequent shingles that are put last, and one in how many documents tells them
 BITS = 512  # of a set's parities, at least
 
@@ -319,10 +319,11 @@ def _differ(bits: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def possible_pairs(t: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def possible_pairs(t: pa.Table, similarity: float, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Of rows (node, component, size, at, bits, x, own) that share the shingle in place
     ``at`` of their order, the pairs of two components that sizes, places and
-    parities do not rule out, if it is the first that they share."""
+    parities do not rule out; ``best``: of each row the one of the most alike parities
+    and the one with the smallest node."""
     node, comp, size, at, x, own = (t[c].to_numpy() for c in ("node", "component", "size", "at", "x", "own"))
     bits = t["bits"].to_pylist()
     resident = own | (x == x.min())
@@ -340,6 +341,10 @@ def possible_pairs(t: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarr
         a, b = i[a, 0], right[b]
         differ = _differ(bits, a, b)
         fits = (size[a] + size[b] - differ) / 2 >= similarity / (1 + similarity) * (size[a] + size[b]) - 1e-6
+        if best:
+            order = np.lexsort((node[b], differ / (size[a] + size[b]), a, ~fits))[: int(fits.sum())]
+            least = np.lexsort((node[b], a, ~fits))[: int(fits.sum())]
+            fits = np.concatenate([o[np.unique(a[o], return_index=True)[1]] for o in (order, least)])
         out.append((np.minimum(node[a], node[b])[fits], np.maximum(node[a], node[b])[fits]))
     pairs = np.unique(np.stack([np.concatenate(o) for o in zip(*out, strict=True)], 1), axis=0)
     return pairs[:, 0], pairs[:, 1]
@@ -379,38 +384,41 @@ def _alike(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, width: int,
     return told.select("a", "b", "a_hashes", "b_hashes").mapInArrow(compare, "a long, b long")
 
 
-def _likely_pairs(distinct: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """``(a, b)`` of nodes that are worth a comparison first, as many as there are rows, a
-    few times over, however large a group is: the forest of fingerprints within
-    ``radius`` bits, and for each of a text's rarest shingles the first text that has it."""
+def _close_pairs(distinct: DataFrame, radius: int) -> DataFrame:
+    """``(a, b)``: a forest of the nodes whose fingerprints differ in ``radius`` bits at most."""
     firsts = materialize(distinct.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
     edges = near_links(firsts.select("fp"), radius)
     one, two = (firsts.select(F.col("fp").alias(f"{k}_fp"), F.col("first").alias(f"{k}_first")) for k in "ab")
     by_bits = edges.join(one, F.col("a") == F.col("a_fp")).join(two, F.col("b") == F.col("b_fp")).select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
     same = distinct.select("node", "fp").join(one, F.col("fp") == F.col("a_fp")).select(F.col("a_first").alias("a"), F.col("node").alias("b"))
-    rare = distinct.select("node", "size", F.explode(F.slice("keys", 1, LEADERS)).alias("shingle"))
-    leads = rare.groupBy(F.col("shingle").alias("s")).agg(F.min("node").alias("lead"), F.min_by("size", "node").alias("lead_size"), F.count("*").alias("n")).where("n > 1")
-    led = rare.join(leads, F.col("shingle") == F.col("s")).where(F.least("size", "lead_size") >= similarity * F.greatest("size", "lead_size") - 1e-6)
-    led = led.select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    return by_bits.union(same).union(led).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return by_bits.union(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _remaining_pairs(distinct: DataFrame, labels: DataFrame, similarity: float, rows_per_block: int) -> DataFrame:
-    """``(a, b)``: every pair of nodes of different components that may have
-    ``similarity``.
+def _sharing_pairs(distinct: DataFrame, labels: DataFrame | None, similarity: float, rows_per_block: int) -> DataFrame:
+    """``(a, b)`` of nodes that may have ``similarity``: every such pair of different
+    components, or without ``labels`` a few for each node, the likeliest of a block.
 
     A prefix filter: in one order of all shingles, two such texts share one of their
-    first, their ``keys`` (see ``prefix``).  Shingles that many texts share come last, a large group of texts meets in blocks, and sizes, places and
-    parities rule out most of the rest."""
-    label = labels.select(F.col("node").alias("l_node"), F.col("component").alias("l_component"))
-    known = distinct.join(label.hint("merge"), distinct["node"] == F.col("l_node"), "left").withColumn("component", F.coalesce("l_component", "node"))
-    met = known.select(F.col("node").alias("m_node"), "component", F.posexplode("keys").alias("at", "shingle"))
+    first, their ``keys`` (see ``prefix``).  Shingles that many texts share come last,
+    a large group of texts meets in blocks, and sizes, places and parities rule out most
+    of the rest.  Without labels only SOME rarest and commonest keys count, which small
+    and large groups share, and blocks do not meet, so work and pairs follow the rows,
+    however large a group is."""
+    if labels is None:
+        least = F.array_distinct(F.concat(F.slice("keys", 1, SOME), F.slice("keys", F.greatest(F.size("keys") - SOME, F.lit(0)) + 1, SOME)))
+        met = distinct.where(F.size("keys") > 0).select(F.col("node").alias("m_node"), F.col("node").alias("component"), F.lit(0).alias("at"), F.explode(least).alias("shingle"))
+    else:
+        label = labels.select(F.col("node").alias("l_node"), F.col("component").alias("l_component"))
+        known = distinct.join(label.hint("merge"), distinct["node"] == F.col("l_node"), "left").withColumn("component", F.coalesce("l_component", "node"))
+        met = known.select(F.col("node").alias("m_node"), "component", F.posexplode("keys").alias("at", "shingle"))
     groups = met.groupBy(F.col("shingle").alias("s")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
     mixed = met.join(groups, F.col("shingle") == F.col("s")).select("shingle", "m_node", "component", F.col("at").cast("long").alias("at"), F.ceil(F.col("n") / rows_per_block).alias("blocks"))
     rows = mixed.join(distinct.select("node", "size", "bits").hint("merge"), F.col("m_node") == F.col("node"))
-    rows = rows.withColumn("x", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumn("x", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("y", F.col("x") if labels is None else F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = rows.select("shingle", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "node", "component", "size", "at", "bits", "x", (F.col("x") == F.col("y")).alias("own"))
-    return _by_group(dealt, 3, lambda t: _edges(possible_pairs(t, similarity)) if len(t) > 1 else None, "a long, b long").distinct()
+    few = labels is None
+    return _by_group(dealt, 3, lambda t: _edges(possible_pairs(t, similarity, few)) if len(t) > 1 else None, "a long, b long").distinct()
 
 
 def similar_groups(
@@ -427,9 +435,9 @@ def similar_groups(
 
     ``component_id`` is the smallest doc_id of the group and ``first_key`` the ``key`` of
     its text (the least, where that id has several in the group); both name the group,
-    since an id may have texts in several.  SimHash and the rarest shingles propose
-    pairs, as many as rows, whose shingles then decide; the components they make leave
-    few pairs for the exact search that adds every other one.  Texts equal but for case
+    since an id may have texts in several.  SimHash and some shingles
+    propose pairs, as many as rows, whose shingles then decide; the components
+    they make leave few pairs for the exact search that adds every other one.  Texts equal but for case
     and white space collapse first.  A text without words is like any other such text.
     Null ids take no part."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -455,11 +463,11 @@ def similar_groups(
     marked = materialize(texts.mapInArrow(mark, f"doc_id {kind}, key binary, fp long, size long, bits binary, keys array<long>"), "marked")
     once = marked.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("fp", "size", "bits", "keys")])
     distinct = materialize(once.withColumn("node", F.monotonically_increasing_id()), "distinct")  # numbered as written
-    likely = materialize(_likely_pairs(distinct, similarity, radius), "likely")
-    near = materialize(connected_components(_alike(likely, distinct, texts, width, similarity)), "near")
-    pairs = materialize(_remaining_pairs(distinct, near, similarity, rows_per_block), "remaining")
+    likely = materialize(_close_pairs(distinct, radius).union(_sharing_pairs(distinct, None, similarity, rows_per_block)).distinct(), "likely")
+    labels = materialize(connected_components(_alike(likely, distinct, texts, width, similarity)), "labels")
+    pairs = materialize(_sharing_pairs(distinct, labels, similarity, rows_per_block), "remaining")
     rest = _alike(pairs, distinct, texts, width, similarity)
-    labels = connected_components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
+    labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
     grouped = distinct.select("key", "rep", "node").join(labels.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left")
     grouped = grouped.select("key", "rep", F.coalesce("component", "node").alias("component"))
     firsts = grouped.groupBy(F.col("component").alias("c")).agg(F.min(F.struct("rep", "key")).alias("first"))
