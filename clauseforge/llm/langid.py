@@ -23,6 +23,7 @@ from clauseforge.llm.storage import materialize
 UNDETERMINED = "und"
 BUCKETS = 1 << 12
 ROWS_A_LANGUAGE, ROWS = 600, 4_000  # training rows, at most
+FEW_LANGUAGES = 10_000  # whose sizes may be broadcast
 BLOCK = 1 << 20  # bytes hashed at a time
 MARGIN = 0.1
 _PERHAPS_LETTER = re.compile(r"[^\W\d_]")  # also numerals that \d leaves out
@@ -142,7 +143,8 @@ def train(
     # language's rows meet in one task
     sizes = known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
     bound = F.ceil(F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n")) * 1_000_003)
-    near = known.join(sizes.select("of", bound.alias("bound")), F.col("lang") == F.col("of")).where(F.pmod("h", F.lit(1_000_003)) < F.col("bound"))
+    sizes = materialize(sizes.select("of", bound.alias("bound")), "sizes")
+    near = known.join(F.broadcast(sizes) if sizes.count() <= FEW_LANGUAGES else sizes, F.col("lang") == F.col("of")).where(F.pmod("h", F.lit(1_000_003)) < F.col("bound"))
     first = W.partitionBy("lang").orderBy("h", "doc_id")
     ranked = near.select("doc_id", "lang", F.row_number().over(first).alias("r")).where(F.col("r") <= per_language)
     ranked = materialize(ranked.select(F.col("doc_id").alias("t_id"), "r"), "picked")
