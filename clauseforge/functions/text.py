@@ -180,7 +180,7 @@ def short(c: Column, most: int = 90) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    kb, mb = n / 1024, n / (1024 * 1024)
+    kb, mb = F.bround(n / 1024, 1), F.bround(n / (1024 * 1024), 1)  # halves to even, as C's formats
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024 * 1024, F.format_string("%.1f KB", kb)).otherwise(F.format_string("%.1f MB", mb))
 
 
