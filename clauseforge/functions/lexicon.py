@@ -291,3 +291,25 @@ SCORED_ENTITY = (
     r"\b(?:class\s*[a-e]|performance\s*criterion\s*[a-e]|iec\s*\d+[-\s.]\d+|cispr\s*\d+|iso\s*\d+[-\s.]\d+"
     r"|radiated|conducted|esd|immunity|emission)\b"
 )
+
+# Families of documents: hints in file names, by priority; families whose tables are taken
+# as they are; the family that headings may tell, and its signals.
+FAMILY_HINTS = {
+    "tl_81000": ("tl_81000", "tl81000", "tl 81000", "tl-81000"),
+    "din_en_60068": ("din_en_60068", "din en 60068", "60068-2", "60068_2"),
+    "dnv_cg_0339": ("dnvgl-cg-0339", "dnv-cg-0339", "dnv_cg_0339", "cg-0339", "cg0339"),
+}
+CONSERVATIVE_FAMILIES = ("din_en_60068", "dnv_cg_0339")
+SIGNALLED_FAMILY = "tl_81000"
+FAMILY_SIGNALS = (
+    "leitungsgebundene störaussendung", "leitungsgebundene emission", "störaussendung", "leitungsgebunden", "geführte störaussendung", "netzgeführt",
+    "conducted emission", "conducted disturbance", "conducted interference", "ce",
+    "strahlungsgebundene störfestigkeit", "feldstärke", "antenne", "fahrzeugprüfung", "strahlungsimmunität", "radiated immunity", "radiated field", "field strength", "ri",
+    "transiente störfestigkeit", "transienten", "impuls", "impulsförmige", "einstellwert", "transient immunity", "transient", "pulse", "burst",
+    "elektrostatische entladung", "esd", "luftentladung", "kontaktentladung", "electrostatic discharge", "air discharge", "contact discharge",
+)
+
+
+def family_signal_words() -> list[str]:
+    """The words of at least four letters that occur in the signals."""
+    return sorted({w for s in FAMILY_SIGNALS for w in s.split() if len(w) >= 4})

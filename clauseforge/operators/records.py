@@ -186,3 +186,13 @@ def events(records: DataFrame) -> DataFrame:
     )
     last = r.groupBy("pair").agg((2 * F.max("place") + 1).alias("seq")).select("pair", "seq", F.lit("done").alias("type"), *[F.lit(None).cast(t).alias(c) for c, t in (("change_id", "string"), ("row_markdown", "string"), ("skipped", "boolean"), ("requires_review", "boolean"))])
     return each.unionByName(last)
+
+
+def compact(records: DataFrame, most: int = 50) -> DataFrame:
+    """The first ``most`` records of each pair, by severity and node, with
+    ``old_section`` and ``new_section``: what those of their section say on each side."""
+    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "low", 2).otherwise(1)
+    first = records.withColumn("_place", F.row_number().over(W.partitionBy("pair").orderBy(rank, "node"))).where(F.col("_place") <= most)
+    said = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("node", F.col(side).alias("t"))))), lambda x: x["t"]), " ")
+    told = first.groupBy("pair", "section").agg(said("l_text").alias("old_section"), said("r_text").alias("new_section"))
+    return first.drop("_place").join(told, ["pair", "section"])

@@ -67,3 +67,24 @@ def citations(records: DataFrame, graph: DataFrame) -> DataFrame:
     own = records.withColumn("_row_page", F.col("page") if "page" in records.columns else F.lit(None).cast("int"))
     joined = own.join(g, "node", "left")
     return joined.withColumns({"section": F.coalesce("_section", "section"), "page": F.coalesce("_page", "_row_page")}).drop("_section", "_page", "_row_page")
+
+
+def searchable(nodes: DataFrame, docs: list, types: list[str]) -> DataFrame:
+    """The nodes of some documents that have one of some types; both conditions reach
+    the scan."""
+    return nodes.where(F.col("doc").isin(*docs) & F.col("node_type").isin(*types))
+
+
+def citation(graph: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(node, section, page, source)`` of ``ids(node)`` that ``graph`` holds, with its
+    defaults where it does not say."""
+    met = graph.join(ids.select("node").distinct(), "node", "left_semi")
+    return met.select("node", F.coalesce("section", F.lit("Unknown Section")).alias("section"), F.coalesce("page", F.lit(0)).cast("long").alias("page"), F.coalesce("text", F.lit("")).alias("source"))
+
+
+def refreshed(stored: DataFrame, found: DataFrame, key: str, value: str) -> DataFrame:
+    """Stored rows with the value found anew ('' where none is), and ``changed``: whether
+    it is another than the stored one."""
+    new = found.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    joined = stored.join(new, stored[key] == new["_key"], "left").withColumn("_value", F.coalesce("_value", F.lit("")))
+    return joined.withColumn("changed", ~F.col("_value").eqNullSafe(F.coalesce(F.col(value), F.lit("")))).withColumn(value, F.col("_value")).drop("_key", "_value")
