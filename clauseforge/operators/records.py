@@ -119,7 +119,7 @@ def action_plan(records: DataFrame, most: int = 5) -> DataFrame:
 
 def sample(records: DataFrame, most: int = 10, seed: int = 42) -> DataFrame:
     """``most`` records of each pair in the order of a seeded hash of their change_id."""
-    w = W.partitionBy("pair").orderBy(F.xxhash64(F.lit(seed), F.col("change_id")), "change_id")
+    w = W.partitionBy("pair").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), "change_id"), 256), "change_id")
     return records.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= most).drop("_place")
 
 

@@ -98,7 +98,11 @@ def noise_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", "ord", T.is_noise(c).alias("noise"), T.is_trivial(c).alias("trivial"), T.ends_sentence(c).alias("ended"), T.starts_lower(c).alias("lower_start"))
 
 
-@query("orphan_fragments")
+_CAPITALS = "^[^\\p{L}]*(\\p{Lu}\\p{Ll}*[^\\p{L}]+)*(\\p{Lu}\\p{Ll}*)[^\\p{L}]*$"
+_ODD = f"(length(t) < 25 OR regexp_matches(t, {q('(?i)' + L.FIGURE_CAPTION)}) OR (length(t) <= 45 AND (t = upper(t) OR regexp_matches(t, {q(_CAPITALS)}))) OR (length(t) < 30 AND regexp_matches(t, '^\\p{{Ll}}')))"
+
+
+@query("orphan_fragments", f"SELECT doc_id, ord, t <> '' AND NOT regexp_matches(t, {q('(?i)' + L.ORPHAN_OBLIGATION)}) AND {_ODD} AS orphan FROM (SELECT doc_id, ord, {collapsed('line')} AS t FROM ({LINES}))")
 def orphan_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", "ord", T.is_orphan(F.col("line"), F.lit("clause")).alias("orphan"))
 
