@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clauseforge.llm import langid, mixing, quality_gbdt, quality_rules, queries
 
@@ -197,3 +198,50 @@ def test_rare_languages_are_learned_and_unlabelled_texts_stay(spark):
     assert len(caught[0]) == 1051 and "zz" in caught[0]
     blank = docs.limit(3).selectExpr("doc_id", "text", "cast(null as string) lang").union(spark.sql("select 5L, '12 3', null union all select 6L, null, null"))
     assert langid.keep_known(blank, langid.train(blank)).count() == 3
+
+
+def test_letters_and_decoding_equal_brute_force(spark):
+    for text, letter in (("²", False), ("½ Ⅷ ٣", False), ("", False), (None, False), ("12 ß", True), ("字", True), ("_-", False)):
+        assert langid.has_letter(text) == letter and (langid.profile(text) is not None) == letter
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs, per_language=40)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(120).collect() if langid.has_letter(r.text)]
+    x = np.array([langid.profile(t) for t in texts])
+    best, p, _ = model.predict(x)
+    for row, got, score in zip(x, best, p, strict=True):
+        margins = [float(row @ model.weight[:, b] + model.bias[b]) for b in range(model.code.shape[1])]
+        loss = [sum(t * np.log1p(np.exp(-c * m)) for t, c, m in zip(model.trust, word, margins, strict=True)) for word in model.code.tolist()]
+        odds = np.exp(-len(margins) * (np.array(loss) - min(loss)))
+        assert int(np.argmin(loss)) == got and np.isclose(odds.max() / odds.sum(), score, atol=1e-5)
+
+
+def test_posteriors_and_rates_equal_brute_force(spark):
+    import xxhash
+
+    rows = [(i, t, d) for i, (t, d) in enumerate([("ein der Hund und die Katze", "de"), ("the dog and the cat", "en"), ("der Baum", "de"), ("a tree and a house", "en"), ("dog Hund", None), (None, "de"), ("", None)] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string").withColumns({"rate": F.lit("clash"), "p0": F.lit(1)})
+    weights, priors = mixing.train(docs, docs.select("doc_id", "domain"), ["de", "en"])
+    told = {r.k: (r.w0, r.w1) for r in weights.collect()}
+    assert priors == pytest.approx([(9 + 1) / (15 + 2), (6 + 1) / (15 + 2)])
+    signed = lambda s: (h - (1 << 64) if (h := xxhash.xxh64_intdigest(s.encode(), 42)) >> 63 else h)
+    got = {r.doc_id: r for r in mixing.posteriors(docs, weights, priors).collect()}
+    for i, text, _ in rows:
+        words = (text or "").lower().split()
+        s = np.zeros(2)
+        for w in words:
+            for k in (signed(w) % mixing.WORDS, signed(w[-2:]) % mixing.ENDINGS + mixing.WORDS):
+                s += told.get(k, (0.0, 0.0))
+        z = np.log(priors) + s / max(len(words), 1) * min(mixing.SHARPNESS, len(words))
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i].n_tokens == len(words) and np.allclose([got[i].p0, got[i].p1], want)
+    members = spark.createDataFrame([(i, n, p, 1 - p) for i, (n, p) in enumerate([(100, 0.9), (50, 0.2), (10, 0.5), (200, 1.0), (40, 0.0)])], "doc_id long, n_tokens long, p0 double, p1 double")
+    fitted, missed = mixing.fit_rates(members, 2, [0.5, 0.5])
+    rates, n, p = (np.array(c, float) for c in zip(*[(r.rate, r.n_tokens, r.p0) for r in fitted.orderBy("doc_id").collect()], strict=True))
+    slow = np.ones(5)
+    soft = np.stack([p, 1 - p])
+    weight = 1 / (soft @ n / n.sum())
+    scaled = soft * np.sqrt(weight)[:, None]
+    step = 1 / np.linalg.eigvalsh((scaled * n) @ scaled.T / n.sum()).max()
+    for _ in range(500):
+        slow = np.maximum(0, slow - step * (soft.T @ (weight * (soft @ (slow * n) / n.sum() - 0.5))))
+    assert max(map(abs, missed)) < 1e-3 and np.allclose(rates, slow, atol=0.01)
