@@ -283,7 +283,8 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
     such sets' union at most (1 / similarity - 1) * n elements are not in both, and the r
     that are not common stand in the order of their hashes, so one of the first k is in
     neither or one only with a chance of (1 / similarity - 1) * n / r each.  k makes that
-    a chance of 2^-CERTAINTY for all of them."""
+    a chance of 2^-CERTAINTY for all of them, or 2^-50 where the other text is so much
+    shorter that its certain number is below k."""
     if not len(hashes):
         return hashes
     n = len(hashes)
