@@ -60,18 +60,11 @@ def clause_meaning(clean: Column) -> Column:
         return T.let(at, cut)
 
     def earliest(t: Column) -> Column:
-        found = F.array(
-            *[
-                F.struct(
-                    F.regexp_instr(t, F.lit(f"(?iU){p}")).alias("at"),
-                    F.lit(i).alias("rank"),
-                    F.lit(label).alias("label"),
-                    F.length(F.regexp_extract(t, f"(?iU)({p})", 1)).alias("size"),
-                )
-                for i, (label, p) in enumerate(L.OBLIGATIONS)
-            ]
-        )
-        return F.array_min(F.filter(found, lambda x: x["at"] > 0))
+        """Of an alternation the earliest match is found, of equal positions the first listed."""
+        some = "(?iU)(" + "|".join(p for _, p in L.OBLIGATIONS) + ")"
+        label = lambda w: ladder([(_find(w, f"^(?:{p})$"), name) for name, p in L.OBLIGATIONS], None)
+        told = lambda w: F.when(w != "", F.struct(F.regexp_instr(t, F.lit(some)).alias("at"), label(F.trim(w)).alias("label"), F.length(w).alias("size")))
+        return T.let(F.regexp_extract(t, some, 1), told)
 
     def act(predicate: Column) -> Column:
         auxiliary = word(predicate).isin("be", "is", "are") & (rest(predicate) != "")

@@ -95,8 +95,13 @@ def policy_text(c: Column, upto: int | None = None) -> Column:
         (r"[.]{3,}", " "),
         (r"[-_=]{3,}", " "),
     ]
-    steps += [(f"(?iU){p}", r) for p, r in L.SYNONYMS[:upto]]
-    return normalize(reduce(lambda x, s: F.regexp_replace(x, *s), steps, t))
+    plain = reduce(lambda x, s: F.regexp_replace(x, *s), steps, t)
+    synonyms = L.SYNONYMS[:upto]
+    if not synonyms:
+        return normalize(plain)
+    some = "(?iU)" + "|".join(p for p, _ in synonyms)  # most texts have none, which one search tells
+    unify = lambda x: reduce(lambda y, s: F.regexp_replace(y, f"(?iU){s[0]}", s[1]), synonyms, x)
+    return normalize(let(plain, lambda x: F.when(x.rlike(some), unify(x)).otherwise(x)))
 
 
 def stopwords(language: str = "") -> list[str]:

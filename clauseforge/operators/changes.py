@@ -91,9 +91,16 @@ def is_change(pairs_context: bool = True) -> Column:
     return ~trivial & ((F.col("change_type") != "MODIFIED") | ~settled)
 
 
+def where_once(rows: DataFrame, test: Column) -> DataFrame:
+    """``rows`` that pass, each column computed once a row.  A filter moves below the
+    columns that it reads, which then are computed in it again, and again for each other
+    column they make; it stays above a column that is not deterministic."""
+    return rows.withColumn("_row", F.monotonically_increasing_id()).where((F.col("_row") >= 0) & test).drop("_row")
+
+
 def change_records(left: DataFrame, right: DataFrame, meanings: bool = True, department: str = "") -> DataFrame:
     """One row a change: what it is, how severe and why."""
-    found = signals(align(left, right), meanings, department).where(is_change())
+    found = where_once(signals(align(left, right), meanings, department), is_change())
     found = found.withColumn("verdict", severity.classify())
     return found.select(
         "node", "change_type", "alignment_type", F.coalesce("l_section", "r_section").alias("section"), "l_text", "r_text",
