@@ -24,6 +24,6 @@ def query(name: str, oracle: str | None = None) -> Callable:
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """The queries and oracles, with every module that registers some imported."""
-    from clauseforge.plans import change_queries, diff_queries, function_queries, record_queries, relation_queries, sequence_queries, shape_queries, table_queries, text_queries  # noqa: F401
+    from clauseforge.plans import change_queries, diff_queries, element_queries, function_queries, record_queries, relation_queries, sequence_queries, shape_queries, table_queries, text_queries  # noqa: F401
 
     return QUERIES, ORACLES
