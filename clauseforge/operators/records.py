@@ -196,3 +196,28 @@ def compact(records: DataFrame, most: int = 50) -> DataFrame:
     said = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("node", F.col(side).alias("t"))))), lambda x: x["t"]), " ")
     told = first.groupBy("pair", "section").agg(said("l_text").alias("old_section"), said("r_text").alias("new_section"))
     return first.drop("_place").join(told, ["pair", "section"])
+
+
+def key_differences(diffs: DataFrame, unchanged: DataFrame) -> DataFrame:
+    """The ``diffs(change_type, section, l_section, r_section, l_text, r_text)`` that
+    stay: none of a reference section without a table number, none of a pair of
+    ``unchanged(l_section, r_section)`` and no equal texts.  A side without a section
+    takes the partner of the other one, of several the least."""
+    partner = lambda of, to: unchanged.groupBy(F.col(of).alias(f"_{of}")).agg(F.min(to).alias(f"_{to}_of"))
+    reference = labels.is_reference_section(F.array(T.blank(F.coalesce("section", "l_section", "r_section"))), F.lit(True))
+    old, new = labels.markdown_text(T.blank(F.col("l_text"))), labels.markdown_text(T.blank(F.col("r_text")))
+    told = diffs.where(~reference & ~((F.col("change_type") == "MODIFIED") & (old == new) & (old != "")))
+    met = told.join(partner("l_section", "r_section"), F.col("l_section") == F.col("_l_section"), "left").join(partner("r_section", "l_section"), F.col("r_section") == F.col("_r_section"), "left")
+    sides = met.withColumns({"_l": F.coalesce("l_section", "_l_section_of"), "_r": F.coalesce("r_section", "_r_section_of")})
+    still = unchanged.select(F.col("l_section").alias("_a"), F.col("r_section").alias("_b")).distinct()
+    return sides.join(still, (F.col("_l") == F.col("_a")) & (F.col("_r") == F.col("_b")), "left_anti").select(*diffs.columns)
+
+
+def folded(events: DataFrame) -> DataFrame:
+    """``(pair, complete, n_diffs, n_skipped, requires_review, last_seq)``: each report
+    as its ``events`` tell it; one without a done event is not complete."""
+    done, diff = F.col("type") == "done", F.col("type") == "diff_complete"
+    return events.groupBy("pair").agg(
+        F.coalesce(F.bool_or(done), F.lit(False)).alias("complete"), F.count_if(diff).alias("n_diffs"), F.count_if(diff & F.col("skipped")).alias("n_skipped"),
+        F.coalesce(F.bool_or(diff & ~F.col("skipped") & F.col("requires_review")), F.lit(False)).alias("requires_review"), F.max("seq").alias("last_seq"),
+    )

@@ -224,3 +224,25 @@ def cached_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = stores.cache_key(F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"))
     fresh = stores.is_fresh(F.col("o_orderdate").cast("string"), F.lit("1998-01-01").cast("timestamp"), 86400 * 365)
     return o.select(F.col("o_orderkey").alias("k"), key.alias("key"), fresh.alias("fresh"), stores.job_state(F.col("o_orderstatus")).alias("state"))
+
+
+@query(
+    "folded_reports",
+    f"SELECT pair, true AS complete, count(*) AS n_diffs, count(*) FILTER (WHERE node % 4 = 0) AS n_skipped, bool_or(node % 4 = 1) AS requires_review, 2 * count(*) + 1 AS last_seq FROM {_ALIGNED} GROUP BY pair",
+)
+def folded_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.folded(report_events(spark, sf_dir))
+
+
+@query(
+    "key_differences",
+    "SELECT coalesce(a.node, b.node) AS node, CASE WHEN b.node IS NULL THEN 'REMOVED' WHEN a.node IS NULL THEN 'ADDED' ELSE 'MODIFIED' END AS change_type "
+    f"FROM ({C1}) a FULL JOIN ({C2}) b ON a.node = b.node WHERE a.text IS DISTINCT FROM b.text AND (coalesce(a.node, b.node) % 9 <> 0 OR coalesce(a.node, b.node) % 2 = 0)",
+)
+def key_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ninth clause stands in a glossary, every other of these under a numbered table."""
+    k = F.col("node")
+    glossary = F.when(k % 18 == 0, "Glossary / Tabelle 3").when(k % 9 == 0, "Glossary")
+    group = lambda c: F.when(F.col(c).isNotNull(), F.floor(k / 4).cast("string"))
+    pairs = changes.align(*versions(spark, sf_dir)).withColumns({"section": F.coalesce(glossary, "l_section", "r_section"), "l_section": group("l_section"), "r_section": group("r_section")})
+    return records.key_differences(pairs, unchanged_sections(spark, sf_dir)).select("node", "change_type")

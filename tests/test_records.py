@@ -124,3 +124,22 @@ def test_prepared_drops_noise(spark):
         "doc int, ord int, section string, page int, kind string, text string",
     )
     assert [r["text"] for r in nodes.prepared(d).collect()] == ["Privileged access should use mfa when remote."]
+
+
+def test_key_differences(spark):
+    rows = [
+        (1, "MODIFIED", None, "1", "1", "a", "b"), (2, "MODIFIED", "Legend", "1", "1", "a", "b"), (3, "MODIFIED", "Legend / Tabelle 4", "1", "1", "a", "b"),
+        (4, "MODIFIED", None, "1", "1", "A  b", "a b"), (5, "REMOVED", None, "2", None, "a", None), (6, "ADDED", None, None, "3", None, "a"), (7, "ADDED", None, None, "1", None, "a"),
+        (8, "MODIFIED", None, "2", "3", "x", "y"), (9, "MODIFIED", None, "2", "4", "x", "y"), (10, "MODIFIED", None, None, None, None, None),
+    ]
+    diffs = spark.createDataFrame(rows, "node int, change_type string, section string, l_section string, r_section string, l_text string, r_text string")
+    unchanged = spark.createDataFrame([("2", "3"), ("2", "3")], "l_section string, r_section string")
+    got = records.key_differences(diffs, unchanged)
+    assert got.columns == diffs.columns and sorted(r["node"] for r in got.collect()) == [1, 3, 7, 9, 10]
+    assert records.key_differences(diffs, unchanged.limit(0)).count() == 8 and records.key_differences(diffs.limit(0), unchanged).isEmpty()
+
+
+def test_folded_reports(spark):
+    rows = [("a", 1, "diff_start", None, None), ("a", 2, "diff_complete", False, True), ("a", 3, "done", None, None), ("b", 1, "diff_complete", True, True), ("b", 2, "diff_complete", None, None)]
+    found = records.folded(spark.createDataFrame(rows, "pair string, seq int, type string, skipped boolean, requires_review boolean"))
+    assert sorted(map(tuple, found.collect())) == [("a", True, 1, 0, True, 3), ("b", False, 2, 1, False, 2)]
