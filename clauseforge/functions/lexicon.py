@@ -142,6 +142,7 @@ TEST_TYPES = (
 )
 FREQUENCY_FACTORS = {"hz": 1.0, "khz": 1e3, "mhz": 1e6, "ghz": 1e9}
 DEFAULT_UNITS = {"EmissionLimit": "dBuV", "FieldStrength": "V/m", "FrequencyRange": "Hz", "TestNumber": ""}
+INHERITED_FACTS = {"EmissionLimit": "emission_limit", "FieldStrength": "field_strength", "FrequencyRange": "frequency_range"}
 BACKEND_WEIGHTS = {"gmft": 1.0, "camelot": 0.9, "pdfplumber": 0.8, "surya": 0.6, "img2table": 0.5}
 
 # Column headers -> entities, in the order in which partial matches are sought.

@@ -377,3 +377,28 @@ def classify(cells: DataFrame, named: DataFrame, caption: str = "") -> DataFrame
     """``named`` with ``test_type``, by the caption column and the headers."""
     said = F.concat_ws(" ", *([caption] if caption else []), F.array_join("headers", " "))
     return named.withColumn("test_type", S.test_type(said))
+
+
+def fact_cells(cells: DataFrame, named: DataFrame) -> DataFrame:
+    """``(table_uid, row, col, text, semantic_key, facts)``: each cell with the entity of
+    its header and the facts in it; without any, a bare number under a header with a
+    unit of its own is a fact in that unit, at a confidence of 0.75.
+    ``named(table_uid, headers)``; cells beyond the headers have neither key nor unit."""
+    columns = named.select(F.col("table_uid").alias("_t"), F.posexplode("headers").alias("_c", "header"))
+    entity = ontology.header_entity(F.col("header"))
+    met = cells.join(columns, (F.col("table_uid") == F.col("_t")) & (F.col("col") == F.col("_c")), "left").withColumn("semantic_key", entity)
+    met = met.withColumns({"found": ontology.facts(T.blank(F.col("text")), T.blank(F.col("header"))), "unit": ontology.default_unit(F.col("semantic_key"))})
+    number = F.nullif(F.regexp_extract(T.blank(F.col("text")), r"(?U)^\s*[±+\-]?\s*(\d+(?:[.,]\d+)?)\s*$", 1), F.lit(""))
+    kind = ladder([(F.col("semantic_key") == k, F.lit(v)) for k, v in L.INHERITED_FACTS.items()], F.lit(None))
+    bare = F.struct(
+        kind.alias("fact_type"), kind.alias("name"), F.replace(number, F.lit(","), F.lit(".")).alias("value"), F.col("unit").alias("unit"), F.trim("text").alias("raw_value"), F.lit(0.75).alias("confidence")
+    )
+    inherits = (F.size("found") == 0) & number.isNotNull() & kind.isNotNull() & F.col("unit").isNotNull()
+    return met.select("table_uid", "row", "col", "text", "semantic_key", F.when(inherits, F.array(bare)).otherwise(F.col("found")).alias("facts"))
+
+
+def table_test_types(tables: DataFrame) -> DataFrame:
+    """``(table_uid, test_type)`` of ``tables(table_uid, caption, headers, section)``: what
+    the caption and the headers tell, else the section."""
+    shown = S.test_type(F.concat_ws(" ", T.blank(F.col("caption")), F.array_join("headers", " ")))
+    return tables.select("table_uid", F.when(shown != "unknown", shown).otherwise(S.test_type(F.col("section"))).alias("test_type"))

@@ -223,3 +223,32 @@ def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.transform(F.array(F.lit(0), F.lit(1)), lambda i: F.when(i < k % 3, "level").otherwise("column_1"))
     c = spark.read.parquet(f"{sf_dir}/part.parquet").select((k % 50).alias("grp"), k.alias("id"), (F.col("p_size") / 50.0).alias("confidence"), head.alias("headers"), F.lit(2).alias("n_cols"), backend.alias("backend"))
     return shapes.best_candidates(c.withColumn("score", F.round(shapes.candidate_score(), 6)), "grp").select("grp", "id", F.round(shapes.candidate_score(), 6).alias("score"))
+
+
+_BARE = f"SELECT table_uid, row, col, CASE WHEN row % 2 = 1 THEN regexp_replace(text, ' (V/m|MHz)$', '') ELSE text END AS text FROM ({T1})"
+
+
+@query(
+    "fact_cells",
+    "SELECT table_uid, row, col, CASE col WHEN 2 THEN 'FieldStrength' ELSE 'FrequencyRange' END AS semantic_key, CASE col WHEN 2 THEN 'field_strength' ELSE 'frequency_range' END AS fact_type, "
+    "CASE WHEN col = 3 AND row % 2 = 0 THEN CAST(1000000 * CAST(split_part(text, ' ', 1) AS BIGINT) AS VARCHAR) || '.0' ELSE split_part(text, ' ', 1) END AS value, CASE col WHEN 2 THEN 'V/m' ELSE 'Hz' END AS unit, "
+    f"CASE WHEN row % 2 = 1 THEN 0.75 WHEN col = 2 THEN 0.95 ELSE 0.85 END AS confidence FROM ({_BARE}) WHERE col >= 2",
+)
+def fact_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other row has bare numbers, in the units of their headers."""
+    bare = F.when(F.col("row") % 2 == 1, F.regexp_replace("text", " (V/m|MHz)$", "")).otherwise(F.col("text"))
+    found = shapes.fact_cells(cells(spark, sf_dir)[0].withColumn("text", bare), named(spark, sf_dir))
+    facts = found.select("table_uid", "row", "col", "semantic_key", F.explode("facts").alias("f"))
+    return facts.select("table_uid", "row", "col", "semantic_key", *[f"f.{c}" for c in ("fact_type", "value", "unit", "confidence")])
+
+
+@query(
+    "table_test_types",
+    "SELECT DISTINCT table_uid, CASE WHEN CAST(split_part(table_uid, ' ', 2) AS BIGINT) % 3 = 0 THEN 'esd' WHEN CAST(split_part(table_uid, ' ', 2) AS BIGINT) % 3 = 1 THEN 'radiated_immunity' ELSE 'unknown' END AS test_type "
+    f"FROM ({T1})",
+)
+def table_test_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third table tells its test in the caption, every other third in its section."""
+    k = F.split("table_uid", " ")[1].cast("long") % 3
+    plain = cells(spark, sf_dir)[0].select("table_uid").distinct().withColumn("headers", F.array(F.lit("Value"), F.lit("Unit")))
+    return shapes.table_test_types(plain.withColumns({"caption": F.when(k == 0, "ESD"), "section": F.when(k < 2, "RS tests").otherwise("Log")}))

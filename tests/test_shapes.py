@@ -101,3 +101,14 @@ def test_html_escapes(spark):
     c = cells(spark, ("t", 0, 0, "a<b")).withColumn("col_span", F.lit(2))
     named = spark.createDataFrame([("t", ["x&y"])], "table_uid string, headers array<string>")
     assert H.html(c, named).collect()[0]["html"] == '<table class="canonical-table"><thead><tr><th>x&amp;y</th></tr></thead><tbody><tr><td colspan="2">a&lt;b</td></tr></tbody></table>'
+
+
+def test_fact_cells(spark):
+    rows = [("t", 0, 0, " -12,5 "), ("t", 0, 1, "7"), ("t", 0, 2, None), ("t", 0, 3, "7"), ("t", 1, 0, "3 V/m"), ("t", 1, 1, "x"), ("u", 0, 0, "7")]
+    cells = spark.createDataFrame(rows, "table_uid string, row int, col int, text string")
+    named = spark.createDataFrame([("t", ["Field strength", "Zzz", "Frequency range"])], "table_uid string, headers array<string>")
+    got = {(r["table_uid"], r["row"], r["col"]): (r["semantic_key"], [(f["value"], f["unit"], f["confidence"]) for f in r["facts"]]) for r in H.fact_cells(cells, named).collect()}
+    assert got == {
+        ("t", 0, 0): ("FieldStrength", [("12.5", "V/m", 0.75)]), ("t", 0, 1): (None, []), ("t", 0, 2): ("FrequencyRange", []), ("t", 0, 3): (None, []),
+        ("t", 1, 0): ("FieldStrength", [("3", "V/m", 0.95)]), ("t", 1, 1): (None, []), ("u", 0, 0): (None, []),
+    }
