@@ -27,8 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clauseforge.llm.storage import give_back
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+SEEN = 1 << 20  # classes of chunks of which is known whether one came before
 CACHE = 300_000  # memoised chunks of at most 64 characters in a Python worker
 
 # Fixed values of the model file's format: piece types and model types.
@@ -66,16 +69,27 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
 
 
 class _Memo(dict):
+    """Values of the keys that came before: most come once and never again, so a key is
+    held from its second time on.  ``seen`` has a byte a class of keys."""
+
     def __init__(self, make, keep):
         super().__init__()
         self.make, self.keep = make, keep
+        self.seen, self.n_seen = bytearray(SEEN), 0
 
     def __missing__(self, key):
         value = self.make(key)
         if self.keep(key):
-            if len(self) >= CACHE:
-                self.clear()
-            self[key] = value
+            at = hash(key) % SEEN
+            if self.seen[at]:
+                if len(self) >= CACHE:
+                    self.clear()
+                self[key] = value
+            else:
+                if self.n_seen >= SEEN // 2:
+                    self.seen, self.n_seen = bytearray(SEEN), 0
+                self.seen[at] = 1
+                self.n_seen += 1
         return value
 
 
@@ -129,7 +143,7 @@ class Codec:
         self.chars = {p for p in self.ids if len(p) == 1}
         self.names = [p for p, _, _ in pieces] + [""]
         self.start = len(pieces)
-        self.follows = _Memo(lambda k: self._stays(self.names[k // (self.start + 1)], self.names[k % (self.start + 1)]), lambda k: True)
+        self.follows = _Memo(lambda k: self._apart(self.names[k // (self.start + 1)], self.names[k % (self.start + 1)]), lambda k: True)
         splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         newline = "" if any("\n" in p for p in self.ids) else "\n"
         self.chunks = re.compile(f"{newline and newline + '|'}{SPACE}*[^{SPACE}{newline}]+|{SPACE}+").findall if splits else lambda s: [s]
@@ -150,13 +164,16 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _apart(self, left: str, right: str) -> bool:
+        return self._merged(left + right) == ([left, right] if left else [right])
+
     def _stays(self, left: str, right: str) -> bool:
         key = (left, right)
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= 2 * CACHE:
                 self.pairs.clear()
-            found = self.pairs[key] = self._merged(left + right) == ([left, right] if left else [right])
+            found = self.pairs[key] = self._apart(left, right)
         return found
 
     def _path(self, text: str) -> list[str]:
@@ -360,5 +377,7 @@ def round_trip(
                     ],
                     names,
                 )
+            del texts, b
+            give_back()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

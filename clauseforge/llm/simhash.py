@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from clauseforge.llm.components import connected_components
-from clauseforge.llm.storage import materialize
+from clauseforge.llm.storage import give_back, materialize
 
 SEED = 42
 TILE = 1024
@@ -152,6 +152,8 @@ def _by_group(df: DataFrame, n_keys: int, each: Callable, schema: str) -> DataFr
                 held.append(b.slice(s, e - s))
         if held and (out := each(pa.Table.from_batches(held).select(range(n_keys, held[0].num_columns)))) is not None:
             yield out
+        held = []
+        give_back()
 
     width = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return df.repartition(width, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
@@ -366,6 +368,7 @@ def _alike(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, width: int,
                     nodes.append(node.as_py())
                     sets.append(shingle_hashes(text.as_py(), width).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "hashes"])
+        give_back()
 
     met = texts.join(wanted.hint("merge"), texts["doc_id"] == F.col("rep")).select("node", "key", "text")
     sets = materialize(met.mapInArrow(hashes, "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes")), "sets")
@@ -379,6 +382,7 @@ def _alike(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, width: int,
                 both = int(np.isin(x, y, assume_unique=True, kind="sort").sum()) if least >= similarity * most else 0
                 alike.append(both > 0 and both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
+        give_back()
 
     one, two = (sets.select(F.col("node").alias(f"{k}_node"), F.col("hashes").alias(f"{k}_hashes")) for k in "ab")
     told = pairs.join(one.hint("merge"), F.col("a") == F.col("a_node")).join(two.hint("merge"), F.col("b") == F.col("b_node"))
@@ -460,6 +464,7 @@ def similar_groups(
                     pa.array([len(h) for h in sets], pa.int64()), pa.array([parities(h) for h in sets], pa.binary()), keys.cast(pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
+            give_back()
 
     marked = materialize(texts.mapInArrow(mark, f"doc_id {kind}, key binary, fp long, size long, bits binary, keys array<long>"), "marked")
     once = marked.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("fp", "size", "bits", "keys")])

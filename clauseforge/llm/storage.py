@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,3 +49,11 @@ def discard(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that no plan reads any more."""
     store, where = _path(df.sparkSession, df.table_path)
     store.delete(where, True)
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system.  Python workers serve one task
+    after another, of later stages too, and would keep the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc has it
+        trim(0)

@@ -56,3 +56,15 @@ def test_documents(spark):
     back = C.decode_documents(C.encode_documents(df)).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in back) == sorted((a or 0, b or "") for a, b, _ in [tuple(r) for r in df.collect()])
     assert C.round_trip(df.where("false")).isEmpty()
+
+
+def test_memos_hold_only_what_comes_again():
+    """Chunks that come once are most of a corpus; a worker held them all."""
+    c = C.Codec(MODEL)
+    once = [f"word{i}x{i * 7919}" for i in range(2_000)]
+    first = [c.encode(t).tolist() for t in once]
+    assert len(c.memo) < 100 and not c.pairs
+    assert [c.encode(t).tolist() for t in once] == first
+    held = len(c.memo)
+    assert held >= 1_990 and [c.encode(t).tolist() for t in once] == first and len(c.memo) < held + 100
+    assert all(c.decode(c.encode(t)) == t for t in once)
