@@ -18,13 +18,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clauseforge.llm.labelled import sample_rows
-from clauseforge.llm.storage import materialize
+from clauseforge.llm.storage import give_back, materialize
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 12
 ROWS_A_LANGUAGE, ROWS = 600, 4_000  # training rows, at most
 FEW_LANGUAGES = 10_000  # whose sizes may be broadcast
 BLOCK = 1 << 20  # bytes hashed at a time
+PART = 256  # rows or columns of a training table worked on at a time
 MARGIN = 0.1
 _PERHAPS_LETTER = re.compile(r"[^\W\d_]")  # also numerals that \d leaves out
 _NOT_WORDS = bytes.maketrans(bytes(range(9, 65)), b" " * 56)  # ASCII white space, digits and punctuation
@@ -105,11 +106,14 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 300) ->
     target = code[y].astype(np.float32)
     share = 1.0 / np.maximum(np.bincount(y, minlength=len(languages)), 1)
     w = (share[y] / share[y].sum()).astype(np.float32)[:, None]
-    mean = (x * w).sum(0)
-    c = (x - mean) * 30
+    # in parts, without further tables of the size of x
+    mean = np.concatenate([(x[:, s : s + PART] * w).sum(0) for s in range(0, x.shape[1], PART)])
+    c = x - mean
+    c *= 30
     beta, bias = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     look, last = beta.copy(), beta.copy()
-    step, l2 = 4.0 / max(float(((c**2).sum(1) * w[:, 0]).sum()), 1e-9), 1e-3
+    squares = np.concatenate([c[:0, 0], *[(c[s : s + PART] ** 2).sum(1) for s in range(0, len(c), PART)]])
+    step, l2 = 4.0 / max(float((squares * w[:, 0]).sum()), 1e-9), 1e-3
     for k in range(steps):
         m = c @ look + bias
         g = -target / (1 + np.exp(np.clip(target * m, -40, 40))) * w
@@ -134,8 +138,8 @@ def train(
     ``per_language`` and ``rows`` in all, those of the least hash of the id, and
     one of each language whatever the bound.
     Rows with a null language, id or text, or without a letter, are passed over before
-    any is picked.  Whole texts are profiled on the executors, where they are; only the
-    sample's profiles come to the driver."""
+    any is picked.  Whole texts are profiled on the executors, where they are; only what
+    is not 0 of the sample's profiles comes to the driver."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, F.lit(29)).alias("h"), F.col(text_col).alias("text"))
     known = known.where("doc_id is not null and lang is not null").where(F.col("text").rlike(r"\p{L}")).drop("text")
     known = materialize(known, "languages")
@@ -153,23 +157,38 @@ def train(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, lang in zip(b.column(0), b.column(1), strict=True):
-                x = profile(text.as_py())
-                if x is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]), pa.array([lang.as_py()])], ["x", "lang"])
+            found = [(x, lang.as_py()) for text, lang in zip(*b.columns, strict=True) if (x := profile(text.as_py())) is not None]
+            places = [np.flatnonzero(x) for x, _ in found]
+            columns = [[at.astype(np.uint16).tobytes() for at in places], [x[at].tobytes() for (x, _), at in zip(found, places, strict=True)]]
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.binary()) for c in columns], pa.array([k for _, k in found], pa.string())], ["at", "x", "lang"])
 
     got = (
         d.join(F.broadcast(picked), d["doc_id"] == picked["t_id"])
         .where("lang is not null")
         .select("text", "lang")
-        .mapInArrow(run, "x binary, lang string")
+        .mapInArrow(run, "at binary, x binary, lang string")
         .toArrow()
-        .to_pylist()
     )
-    got.sort(key=lambda r: (r["lang"], r["x"]))
-    languages = sorted({r["lang"] for r in got})
-    x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, BUCKETS)
-    return fit(x, np.array([languages.index(r["lang"]) for r in got], np.int64), languages)
+    x, y, languages = _table(got)
+    del got
+    model = fit(x, y, languages)
+    del x
+    give_back()
+    return model
+
+
+def _table(got: pa.Table) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Profiles, indices of their languages, and these, of rows (at, x, lang): the places
+    and values of a profile that are not 0.  The rows' order is no part of the result."""
+    told = got["lang"].to_pylist()
+    languages = sorted(set(told))
+    place = {k: i for i, k in enumerate(languages)}
+    x, y = np.zeros((len(told), BUCKETS), np.float32), np.array([place[k] for k in told], np.int64)
+    for row, at, value in zip(x, got["at"], got["x"], strict=True):
+        row[np.frombuffer(at.as_buffer(), np.uint16)] = np.frombuffer(value.as_buffer(), np.float32)
+    order = np.argsort(x.view(f"S{x.itemsize * BUCKETS}")[:, 0], kind="stable")  # by their bytes
+    order = order[np.argsort(y[order], kind="stable")]
+    return x[order], y[order], languages
 
 
 def predict_batches(model: Model, column: int) -> Callable:

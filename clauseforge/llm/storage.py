@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import re
 import tempfile
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,7 +35,8 @@ def _path(spark: SparkSession, path: str):
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the plan
     is cut there, so a lost executor costs a re-read and not a recomputation.
-    The table goes when the session ends, or by ``discard``."""
+    The table goes when the session ends, or by ``discard``.  The driver's JVM then returns
+    the native memory that planning and compiling took."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/clauseforge/{name}-{uuid.uuid4().hex}"
     schema = df.schema
@@ -42,6 +45,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     store.deleteOnExit(where)
     out = spark.read.schema(schema).parquet(path)
     out.table_path = path
+    give_back_jvm(spark)
     return out
 
 
@@ -57,3 +61,19 @@ def give_back() -> None:
     pa.default_memory_pool().release_unused()
     if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc has it
         trim(0)
+
+
+def give_back_jvm(spark: SparkSession) -> bool:
+    """The same for what the driver's JVM holds outside its heap, which its many threads
+    otherwise keep, each for itself.  Whether this JVM has the command for that."""
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    with contextlib.suppress(Py4JError):
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        args = new_array(jvm.java.lang.Object, 4)
+        args[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        args[1] = "systemTrimNativeHeap"
+        # by the interface's method, since the server's own class is not open to callers
+        found = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods()
+        next(m for m in found if m.getName() == "invoke").invoke(server, args)
+        return True
+    return False

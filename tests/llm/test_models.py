@@ -1,13 +1,16 @@
 """Language ID, quality classifier, quality rules and mixing."""
 
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from clauseforge.llm import langid, mixing, quality_gbdt, quality_rules, queries
+from clauseforge.llm.storage import give_back_jvm
 
 SF = "/root/testdata/sf0.01"
 
@@ -200,6 +203,21 @@ def test_rare_languages_are_learned_and_unlabelled_texts_stay(spark):
     assert langid.keep_known(blank, langid.train(blank)).count() == 3
 
 
+def test_fitting_takes_little_more_than_one_further_table(spark):
+    """And the driver's sorted table has the profiles as they are, whatever their order."""
+    texts = [(f"wort{k} der die das {k % 7}" * 9, f"l{k % 3}") for k in range(900)]
+    rows = [(langid.profile(t), lang) for t, lang in texts]
+    cols = [[np.flatnonzero(x).astype(np.uint16).tobytes() for x, _ in rows], [x[x != 0].tobytes() for x, _ in rows], [k for _, k in rows]]
+    x, y, names = langid._table(pa.table(cols, ["at", "x", "lang"]))
+    want = sorted((lang, p.tobytes()) for p, lang in rows)
+    assert [(names[k], p.tobytes()) for p, k in zip(x, y, strict=True)] == want
+    tracemalloc.start()
+    langid.fit(x, y, names, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * x.nbytes and give_back_jvm(spark)
+
+
 def test_letters_and_decoding_equal_brute_force(spark):
     for text, letter in (("²", False), ("½ Ⅷ ٣", False), ("", False), (None, False), ("12 ß", True), ("字", True), ("_-", False)):
         assert langid.has_letter(text) == letter and (langid.profile(text) is not None) == letter

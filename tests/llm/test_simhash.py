@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from clauseforge.llm import simhash as S
-from clauseforge.llm.components import connected_components
+from clauseforge.llm.components import connected_components, large_star, small_star
 
 SCHEMA = "doc_id long, text string, component_id string, fp int"
 
@@ -111,6 +111,13 @@ def test_long_chain_is_one_component(spark):
     assert {r.component for r in connected_components(edges).collect()} == {0}
 
 
+def test_a_round_reads_its_edges_four_times(spark):
+    edges = spark.createDataFrame([(3, 1), (1, 2), (5, 4), (6, 6)], "a long, b long").localCheckpoint()
+    star = small_star(large_star(edges))
+    assert star._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 4
+    assert sorted(map(tuple, star.collect())) == [(2, 1), (3, 1), (5, 4)]
+
+
 def test_similar_groups_equal_brute_force(spark):
     rows = dict(enumerate(corpus(40)))
     sets = {i: set(S.shingle_hashes((t or "").encode()).tolist()) for i, t in rows.items()}
